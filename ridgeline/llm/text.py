@@ -26,6 +26,10 @@ _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint6
 _Q = 0xD6E8FEB86659FD93
 
 
+def is_separator(data: np.ndarray) -> np.ndarray:
+    return _IS_SEPARATOR[data]
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalise 64-bit hashes so that every bit depends on every bit (in place)."""
     h ^= h >> np.uint64(33)
