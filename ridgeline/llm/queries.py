@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, near_dedup, packing, substring_dedup
+from . import exact_dedup, mixing, near_dedup, packing, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard": near_dedup.op2,
     "op3_substring_dedup": substring_dedup.op3,
     "op5_packing": packing.op5,
+    "op6_toxicity": toxicity.op6,
     "op7_mixing": mixing.op7,
     "op9_exact_dedup": exact_dedup.op9,
 }
