@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, near_dedup, packing, substring_dedup, toxicity
+from . import exact_dedup, mixing, near_dedup, packing, quality_rules, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard": near_dedup.op2,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": packing.op5,
     "op6_toxicity": toxicity.op6,
     "op7_mixing": mixing.op7,
+    "op8_quality_rules": quality_rules.op8,
     "op9_exact_dedup": exact_dedup.op9,
 }
 
