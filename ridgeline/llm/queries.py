@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, near_dedup, packing, quality_rules, substring_dedup, toxicity
+from . import exact_dedup, mixing, near_dedup, packing, quality_rules, secrets, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard": near_dedup.op2,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mixing": mixing.op7,
     "op8_quality_rules": quality_rules.op8,
     "op9_exact_dedup": exact_dedup.op9,
+    "op10_secret_scan": secrets.op10,
 }
 
 ORACLES: dict[str, str] = {
