@@ -199,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
                 lists = pa.ListArray.from_arrays(cuts, pa.array(once % len(keys), pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(1), lists], names=["toxic", "features"])
 
-    train = rows.mapInArrow(sparse, "toxic int, features array<long>").orderBy("toxic", "features").toArrow()
+    train = rows.mapInArrow(sparse, "toxic int, features array<long>").withColumn("place", F.xxhash64("features")).toArrow().sort_by([("toxic", "ascending"), ("place", "ascending")])
     toxic = train.column("toxic").to_numpy()
     lists = train.column("features").combine_chunks()
     feature, length = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
