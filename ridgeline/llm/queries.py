@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, licenses, mixing, near_dedup, packing, quality_rules, secrets, substring_dedup, toxicity
+from . import exact_dedup, licenses, line_dedup, mixing, near_dedup, packing, quality_rules, secrets, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licenses.op1,
     "op2_ngram_jaccard": near_dedup.op2,
     "op3_substring_dedup": substring_dedup.op3,
+    "op4_line_dedup": line_dedup.op4,
     "op5_packing": packing.op5,
     "op6_toxicity": toxicity.op6,
     "op7_mixing": mixing.op7,
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_license_scan": licenses.oracle_sql(),
+    "op4_line_dedup": line_dedup.ORACLE_SQL,
     "op7_mixing": mixing.ORACLE_SQL,
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,
 }
