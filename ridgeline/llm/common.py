@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 #: A word, as a regular expression of Spark and of RE2.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -45,3 +48,14 @@ def free_name(df: DataFrame, stem: str) -> str:
     while stem.lower() in taken:
         stem += "_"
     return stem
+
+
+def with_arrow_column(df: DataFrame, name: str, kind: DataType, make: Callable[[pa.RecordBatch], pa.Array]) -> DataFrame:
+    """``df`` with the column ``name`` that ``make`` gives for each batch; columns are told by place, whatever they are called."""
+    numbered = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, make(batch)], names=[*batch.schema.names, name])
+
+    return numbered.mapInArrow(run, StructType([*numbered.schema.fields, StructField(name, kind)])).toDF(*df.columns, name)

@@ -19,20 +19,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, BooleanType
 
 from . import text as words
-from .common import checkpoint, column, free_name, text_column
+from .common import checkpoint, column, free_name, text_column, with_arrow_column
 
 #: The filter has 16 cells a row, rounded up to a power of two, and never more than this (32 MB).
 MAX_CELL_BITS = 28
 CELLS_A_HASH = 2
 SEGMENTS = 64
 
-def _copy(schema: StructType) -> StructType:
-    return StructType(list(schema.fields))
-
-
 _TO_SPACE = bytes.maketrans(words.SEPARATORS, b" " * len(words.SEPARATORS))
 _SPACES = re.compile(b"  +")
 
@@ -51,14 +47,8 @@ def digests(texts: pa.Array) -> pa.Array:
 
 def with_digest(df: DataFrame, text: str, name: str) -> DataFrame:
     """``df`` with the digest of ``text`` as one more column."""
-    schema = _copy(df.schema).add(name, "binary")
     at = df.columns.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, digests(batch.column(at))], names=[*batch.schema.names, name])
-
-    return df.mapInArrow(run, schema)
+    return with_arrow_column(df, name, BinaryType(), lambda batch: digests(batch.column(at)))
 
 
 def _cells(digest: pa.Array, bits: int) -> np.ndarray:
@@ -125,11 +115,7 @@ def with_suspicion(hashed: DataFrame, digest: str, flag: str, stored: DataFrame
     shared = hashed.sparkSession.sparkContext.broadcast(found)
     at = hashed.columns.index(digest)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_suspect(batch.column(at), shared.value, bits))], names=[*batch.schema.names, flag])
-
-    return hashed.mapInArrow(run, _copy(hashed.schema).add(flag, "boolean"))
+    return with_arrow_column(hashed, flag, BooleanType(), lambda batch: pa.array(_suspect(batch.column(at), shared.value, bits)))
 
 
 def duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -161,11 +147,12 @@ def deduplicate(df: DataFrame, id_column: str = "doc_id", text: str = "text") ->
     sha, maybe = free_name(df, "sha"), free_name(df, "maybe")
     hashed = with_digest(df, text, sha)
     marked = with_suspicion(hashed, sha, maybe, checkpoint(hashed.select(sha)))
-    whole = F.struct(*[column(marked, c) for c in df.columns])
-    order = F.struct(column(marked, id_column).isNull(), column(marked, id_column))
-    unique = marked.where(~F.col(maybe)).select(*[column(marked, c) for c in df.columns])
-    first = marked.where(F.col(maybe)).groupBy(sha).agg(F.min_by(whole, order).alias("row")).select("row.*")
-    return unique.unionByName(first)
+    names = [column(marked, c).alias(f"c{i}") for i, c in enumerate(df.columns)]
+    sortable = [column(marked, f.name) for f in df.schema.fields if f.dataType.typeName() in ("string", "long", "integer", "double", "boolean", "timestamp", "date")]
+    order = F.struct(column(marked, id_column).isNull(), column(marked, id_column), *sortable)
+    unique = marked.where(~F.col(maybe)).select(*names)
+    first = marked.where(F.col(maybe)).groupBy(sha).agg(F.min_by(F.struct(*names), order).alias("row")).select("row.*")
+    return unique.unionByName(first).toDF(*df.columns)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

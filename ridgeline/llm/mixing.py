@@ -105,6 +105,20 @@ def mix(df: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHAR
     return placed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * times).cast("long").alias("taken"))
 
 
+def mixed_documents(df: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", **parameters) -> DataFrame:
+    """The rows of ``df`` that the mix takes, with all columns, once for each pass that takes them.
+
+    Rows meet their result by id and text size; rows that share both are one document
+    with as many copies, and each is written as often as the mix takes them on average, rounded up.
+    Documents without words are never taken.
+    """
+    found = mix(df, weights=parameters.get("weights", WEIGHTS), share=parameters.get("share", SHARE), epochs=parameters.get("epochs", EPOCHS), id_column=id_column, text=text, source=source)
+    times = found.where("taken > 0").groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.ceil(F.sum(F.col("taken") / F.col("size")) / F.count(F.lit(1))).alias("_times"))
+    size = F.regexp_count(text_column(df, text), F.lit(WORD)).cast("long")
+    joined = df.join(times, column(df, id_column).eqNullSafe(times["_id"]) & (size == times["_size"]))
+    return joined.withColumn("_pass", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).select(*[column(df, c) for c in df.columns])
+
+
 def op7(spark, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import text as words
-from .common import checkpoint, column, free_name, table, text_column
+from .common import checkpoint, column, free_name, table, text_column, with_arrow_column
 
 SAMPLE = 20_000
 FEATURES = 4096
@@ -211,20 +211,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
 
 def score(df: DataFrame, model: Model, text: str = "text", name: str = "severity") -> DataFrame:
     """``df`` with a struct ``name`` (expected, grade, p_toxic) as one more column; a null text counts as empty."""
-    field = pa.struct([("expected", pa.float64()), ("grade", pa.int32()), ("p_toxic", pa.float64())])
+    fields = list(pa.struct([("expected", pa.float64()), ("grade", pa.int32()), ("p_toxic", pa.float64())]))
     at = df.columns.index(text)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in words.by_bytes(batch, text):
-                p = shared.value.probabilities(part.column(at))
-                whole = np.concatenate([np.ones((len(p), 1)), p, np.zeros((len(p), 1))], axis=1)
-                grade = np.argmax(whole[:, :-1] - whole[:, 1:], axis=1)
-                column = pa.StructArray.from_arrays([pa.array(p.sum(axis=1)), pa.array(grade, pa.int32()), pa.array(p[:, 0])], fields=list(field))
-                yield pa.RecordBatch.from_arrays([*part.columns, column], names=[*part.schema.names, name])
-
-    return df.mapInArrow(run, StructType(list(df.schema.fields)).add(name, StructType().add("expected", "double").add("grade", "integer").add("p_toxic", "double")))
+    def severity(batch: pa.RecordBatch) -> pa.Array:
+        parts = []
+        for part in words.by_bytes(batch, batch.schema.names[at]):
+            p = shared.value.probabilities(part.column(at))
+            whole = np.concatenate([np.ones((len(p), 1)), p, np.zeros((len(p), 1))], axis=1)
+            grade = np.argmax(whole[:, :-1] - whole[:, 1:], axis=1)
+            parts.append(pa.StructArray.from_arrays([pa.array(p.sum(axis=1)), pa.array(grade, pa.int32()), pa.array(p[:, 0])], fields=fields))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.struct(fields))
+
+    return with_arrow_column(df, name, StructType().add("expected", "double").add("grade", "integer").add("p_toxic", "double"), severity)
 
 
 def toxicity(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
