@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
+def checkpoint(df: DataFrame) -> DataFrame:
+    """``df`` as a written table in the folder of spark.checkpoint.dir, or of this machine where none is set."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
@@ -25,8 +26,8 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     ignored; a loop names its node alone.
     """
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-    both = _checkpoint(pairs.union(pairs.select("b", "a")).distinct())
-    labels = _checkpoint(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "node"))
+    both = checkpoint(pairs.union(pairs.select("b", "a")).distinct())
+    labels = checkpoint(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "node"))
     while True:
         left = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
         right = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
@@ -35,7 +36,7 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
         moved = offers.groupBy("node").agg(F.min("label").alias("offer"))
         hooked = labels.join(moved, "node", "left").select("node", F.least("label", "offer").alias("label"), F.col("offer").isNotNull().alias("moved"))
         parents = hooked.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        new = _checkpoint(hooked.join(parents, "label", "left").select("node", F.least("label", "above").alias("label"), (F.col("moved") | (F.col("above") < F.col("label"))).alias("moved")))
+        new = checkpoint(hooked.join(parents, "label", "left").select("node", F.least("label", "above").alias("label"), (F.col("moved") | (F.col("above") < F.col("label"))).alias("moved")))
         labels = new.select("node", "label")
         if new.where("moved").isEmpty():
             return labels.withColumnRenamed("label", "component")
