@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, column, table, text_column
+from .common import WORD, checkpoint, column, table, text_column
 
 #: At most this many labelled rows are used to learn, the first by a hash of the id.
 SAMPLE = 5000
@@ -204,8 +204,8 @@ def quality(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
     docs = df.select(column(df, id_column).alias("doc_id"), text_column(df, text).alias("text"))
     known = labels.select("doc_id", "quality")
     chosen = known.where("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    # only texts of the sample are measured to learn from
-    rules = fit(statistics(docs.join(F.broadcast(chosen), "doc_id", "left_semi")), known, sample)
+    # only texts of the sample are measured to learn from; written first, or filters on the statistics would be pushed below the join
+    rules = fit(statistics(checkpoint(docs.join(F.broadcast(chosen), "doc_id", "left_semi"))), known, sample)
     stats = statistics(docs)
     return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & verdict(rules)).alias("kept"))
 
