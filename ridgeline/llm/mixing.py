@@ -102,7 +102,7 @@ def mix(df: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHAR
         last = F.struct(F.lit(end["finish"]).alias("finish"), F.lit(end["turn"]).alias("turn")) if end else None
         times = times + (F.when(F.struct(f.alias("finish"), F.col("turn")) <= last, 1).otherwise(0) if end else 0)
     times = F.when(F.col("size") > 0, times).otherwise(0)
-    return placed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * times).cast("long").alias("taken"))
+    return placed.select(F.col("id").alias("doc_id"), "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * times).cast("long").alias("taken"))
 
 
 def mixed_documents(df: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", **parameters) -> DataFrame:
@@ -147,5 +147,5 @@ WITH d AS (
 ), k AS (
   SELECT doc_id, sum(size) AS taken FROM c WHERE upto <= (SELECT sum(target) FROM t) + 1e-6 GROUP BY doc_id
 )
-SELECT p.doc_id, p.size::BIGINT AS size, p.n::BIGINT AS source_size, p.target, coalesce(k.taken, 0)::BIGINT AS taken FROM p LEFT JOIN k USING (doc_id)
+SELECT p.doc_id, p.size::BIGINT AS size, p.n::BIGINT AS source_size, round(p.target, 6) AS target, coalesce(k.taken, 0)::BIGINT AS taken FROM p LEFT JOIN k USING (doc_id)
 """
