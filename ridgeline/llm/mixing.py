@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpoint, column, partitions, table, text_column
+from .common import WORD, checkpoint, column, free_name, partitions, table, text_column
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -116,7 +116,7 @@ def mixed_documents(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     times = found.where("taken > 0").groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.ceil(F.sum(F.col("taken") / F.col("size")) / F.count(F.lit(1))).alias("_times"))
     size = F.regexp_count(text_column(df, text), F.lit(WORD)).cast("long")
     joined = df.join(times, column(df, id_column).eqNullSafe(times["_id"]) & (size == times["_size"]))
-    return joined.withColumn("_pass", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).select(*[column(df, c) for c in df.columns])
+    return joined.withColumn(free_name(df, "pass"), F.explode(F.sequence(F.lit(1).cast("long"), times["_times"]))).select(*[column(df, c) for c in df.columns])
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
