@@ -23,7 +23,7 @@ SHARE = 1.5
 EPOCHS = 2
 
 #: Rows in a hash range, about.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS) -> DataFrame:
