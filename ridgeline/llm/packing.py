@@ -34,7 +34,7 @@ CAPACITY = 2048
 END = 1
 
 #: Rows of one length in a bucket, about.
-BUCKET_ROWS = 100_000
+BUCKET_ROWS = 10_000
 
 
 @dataclass
