@@ -106,11 +106,11 @@ def feature_matrix(spark, sf):
 
 QUERIES = {
     "group_difference": group_difference,
-    "center_crop": lambda s, d: rounded(signal.centre_crop(series(s, d), 40)),
+    "center_crop": lambda s, d: rounded(signal.centre_crop(series(s, d), 40), 9),
     "zscore_series": lambda s, d: rounded(signal.zscore(series(s, d))),
     "share_of_total": share_of_total,
     "union_groups": union_groups,
-    "sliding_windows": lambda s, d: rounded(signal.sliding_windows(series(s, d), SIZE, STEP).select(*KEYS, "k", "v")),
+    "sliding_windows": lambda s, d: rounded(signal.sliding_windows(series(s, d), SIZE, STEP).select(*KEYS, "k", "v"), 9),
     "window_time_features": lambda s, d: rounded(signal.time_features(series(s, d), SIZE, STEP)),
     "zero_crossings": lambda s, d: signal.time_features(series(s, d), SIZE, STEP).groupBy("animal").agg(F.sum("zero_crossings").alias("zero_crossings")),
     "peak_features": lambda s, d: rounded(signal.peak_features(series(s, d), SIZE, STEP)),
@@ -171,11 +171,11 @@ hits AS (SELECT l.animal, l.label, l.win, t.h, coalesce(t.peak AND t.h >= l.m +
 _FLOATS = [f for f in SEVEN if f != "zero_crossings"]
 ORACLES = {
     "group_difference": f"WITH {_MEANS}, {_SUMMARY}, {_RANKS.replace('{source}', '''(SELECT * FROM ps WHERE feature IN ('energy', 'rms', 'zero_crossings'))''')} SELECT c.feature, {r('m0', 'control_mean')}, {r('m1', 'exercised_mean')}, {r('d', 'cohens_d')}, {r('u', '''"mannwhitney_U"''')}, {r('p_bh', 'p_bh_corrected')} FROM cohen c JOIN bh USING (feature)",
-    "center_crop": f"WITH {SERIES}, c AS (SELECT *, greatest((count(*) OVER (PARTITION BY animal) - 40) // 2, 0) AS s FROM series) SELECT animal, label, pos - s AS pos, {r('v', 'v')} FROM c WHERE pos >= s AND pos < s + 40",
+    "center_crop": f"WITH {SERIES}, c AS (SELECT *, greatest((count(*) OVER (PARTITION BY animal) - 40) // 2, 0) AS s FROM series) SELECT animal, label, pos - s AS pos, {r('v', 'v', 9)} FROM c WHERE pos >= s AND pos < s + 40",
     "zscore_series": f"WITH {SERIES} SELECT animal, label, pos, {r('(v - avg(v) OVER w) / nullif(stddev_pop(v) OVER w, 0)', 'v')} FROM series WINDOW w AS (PARTITION BY animal)",
     "share_of_total": f"SELECT user_id AS animal, count(*) AS points, {r('100.0::DOUBLE * count(*) / sum(count(*)) OVER ()', 'percent')} FROM events GROUP BY user_id",
     "union_groups": f"WITH {SERIES}, g AS (SELECT animal, label, count(*) AS n, sum(v) AS total FROM series GROUP BY ALL) SELECT CASE label WHEN 0 THEN 'control' ELSE 'exercised' END AS grp, row_number() OVER (PARTITION BY label ORDER BY animal) - 1 AS idx, animal, n, {r('total', 'total', 3)} FROM g",
-    "sliding_windows": f"WITH {WINDOWS} SELECT animal, label, win, k, {r('v', 'v')} FROM windowed",
+    "sliding_windows": f"WITH {WINDOWS} SELECT animal, label, win, k, {r('v', 'v', 9)} FROM windowed",
     "window_time_features": f"WITH {WINDOWS}, {_SEVEN} SELECT animal, label, win, zero_crossings, {', '.join(r(chr(34) + f + chr(34), chr(34) + f + chr(34)) for f in _FLOATS)} FROM time_features",
     "zero_crossings": f"WITH {WINDOWS}, {_SEVEN} SELECT animal, sum(zero_crossings)::BIGINT AS zero_crossings FROM time_features GROUP BY animal",
     "peak_features": f"WITH {WINDOWS}, {_PEAKS} SELECT animal, label, win, sum(is_peak::INT)::BIGINT AS num_peaks, {r('sum(is_peak::INT)::DOUBLE / (sum(is_valley::INT) + 1)', 'peak_valley_ratio')}, {r('coalesce(stddev_pop(CASE WHEN is_peak THEN h END), 0)', 'std_peak_height')} FROM hits GROUP BY animal, label, win",
