@@ -65,6 +65,7 @@ SENTENCES: list[tuple[str, str]] = [
     ("CC0", "Licensed under CC0 1.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Reserved", "All rights reserved, no licence is granted."),
+    ("Reserved", "All rights reserved."),
 ]
 
 #: Rules in the order in which they are tried: licence, then identifiers that follow each other.
@@ -104,7 +105,7 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
 ]
 
 #: Every known sentence has one of these words; texts without them hold none.
-KEYWORDS = ("licen", "permission", "redistribut", "warrant", "mpl", "domain")
+KEYWORDS = ("licen", "permission", "redistribut", "warrant", "mpl", "domain", "reserved")
 
 #: A sentence ends at a stop with white space after it, or at an empty line.
 BREAK = r"([.!?;:])[\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*\n"

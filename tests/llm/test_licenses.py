@@ -1,3 +1,5 @@
+import re
+
 from helpers import ODD, SF, documents
 
 from ridgeline.llm import licenses
@@ -48,3 +50,16 @@ def test_documents(spark):
     rows = {r.doc_id: r.licences for r in licenses.op1(spark, SF).collect()}
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     assert {d for d, x in rows.items() if "MIT" in x} == {d for d, t in docs.items() if "Released under the MIT License." in t.split("\n")}
+
+
+def test_every_licence_line_of_documents(spark):
+    lines = {
+        "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0-only", "All rights reserved.": "NONE-GRANTED",
+    }
+    sf = SF.replace("0.001", "0.01")
+    rows = {r.doc_id: set(filter(None, r.licences.split(","))) for r in licenses.op1(spark, sf).collect()}
+    docs = {r.doc_id: (r.text or "").split("\n") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    planted = {x for text in docs.values() for x in text if re.match("(Licensed|Released|This work is licensed) under |All rights reserved", x) and len(x) < 100}
+    assert planted == set(lines)
+    assert rows == {d: {lines[x] for x in text if x in lines} for d, text in docs.items()}
