@@ -6,6 +6,8 @@ looked up line by line, so a licence line below an unfinished line is found, and
 so is a wrapped sentence. The identifiers, with a mark for each stretch of other
 sentences, form a sequence; rules are tried in order, and what a rule matches is
 taken out of the sequence, so a full licence isn't reported again by its parts.
+List markers between two known sentences aren't part of the sequence; the SQL
+keeps them as other sentences, so it misses numbered licences.
 
 Everything is one row-wise expression: no shuffle, and texts without any of
 the words that all known sentences share some of skip it.
@@ -28,6 +30,7 @@ SENTENCES: list[tuple[str, str]] = [
     ("ApacheGrant", 'Licensed under the Apache License, Version 2.0 (the "License");'),
     ("ApacheCompliance", "you may not use this file except in compliance with the License."),
     ("ApacheCopy", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("CopyBelowApache", "You may obtain a copy of the License at\n\nhttp://www.apache.org/licenses/LICENSE-2.0"),
     ("ApacheNoWarranty", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'),
     ("ApacheSee", "See the License for the specific language governing permissions and limitations under the License."),
     ("MITShort", "Released under the MIT License."),
@@ -71,7 +74,9 @@ SENTENCES: list[tuple[str, str]] = [
 #: Rules in the order in which they are tried: licence, then identifiers that follow each other.
 RULES: list[tuple[str, tuple[str, ...]]] = [
     ("Apache-2.0", ("ApacheGrant", "ApacheCompliance", "ApacheCopy", "ApacheNoWarranty", "ApacheSee")),
+    ("Apache-2.0", ("ApacheGrant", "ApacheCompliance", "CopyBelowApache", "ApacheNoWarranty", "ApacheSee")),
     ("Apache-2.0", ("ApacheGrant", "ApacheCompliance", "ApacheCopy")),
+    ("Apache-2.0", ("ApacheGrant", "ApacheCompliance", "CopyBelowApache")),
     ("Apache-2.0", ("ApacheGrant",)),
     ("Apache-2.0", ("ApacheShort",)),
     ("MIT", ("MITTitle", "MITGrant", "MITNotice", "MITNoWarranty")),
@@ -80,6 +85,9 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("MIT", ("MITTitle",)),
     ("MIT", ("MITShort",)),
     ("ISC", ("ISCGrant",)),
+    ("BSD-3-Clause", ("Reserved", "BSDGrant", "BSDSource", "BSDBinary", "BSDEndorse")),
+    ("BSD-2-Clause", ("Reserved", "BSDGrant", "BSDSource", "BSDBinary")),
+    ("BSD-1-Clause", ("Reserved", "BSDGrant", "BSDSource")),
     ("BSD-3-Clause", ("BSDGrant", "BSDSource", "BSDBinary", "BSDEndorse")),
     ("BSD-2-Clause", ("BSDGrant", "BSDSource", "BSDBinary")),
     ("BSD-1-Clause", ("BSDGrant", "BSDSource")),
@@ -111,6 +119,9 @@ KEYWORDS = ("licen", "permission", "redistribut", "warrant", "mpl", "domain", "r
 BREAK = r"([.!?;:])[\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*\n"
 CUT = "\x01"
 
+#: Pieces that are no sentence: a list marker (a bare number or a single letter) or no letter or digit at all.
+MARKER = r"^[^\p{L}\p{N}]*([0-9]+|[A-Za-z])?[^\p{L}\p{N}]*$"
+
 
 def pieces_of(sentence: str) -> list[str]:
     """A known sentence as the splitter would cut it."""
@@ -163,11 +174,12 @@ def recognise(df: DataFrame, id_column: str = "doc_id", text: str = "text", sent
     def identify(sentence: Column) -> Column:
         name = F.try_element_at(lookup, _normal(sentence))
         by_line = F.transform(F.split(sentence, "\n", -1), lambda x: F.coalesce(F.try_element_at(lookup, _normal(x)), F.lit("?")))
-        return F.when(name.isNotNull(), F.array(name)).when(F.instr(sentence, "\n") > 0, by_line).otherwise(F.array(F.lit("?")))
+        return F.when(name.isNotNull(), F.array(name)).when(sentence.rlike(MARKER), F.array(F.lit("."))).when(F.instr(sentence, "\n") > 0, by_line).otherwise(F.array(F.lit("?")))
 
     cut = F.split(F.regexp_replace("text", BREAK, "$1" + CUT), CUT, -1)
     names = F.filter(F.flatten(F.transform(F.filter(cut, lambda x: F.trim(F.regexp_replace(x, r"[\x20\x09-\x0D]+", " ")) != ""), identify)), lambda x: x.isNotNull())
     joined = F.array_join(F.transform(names, lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "")
+    joined = F.regexp_replace(F.regexp_replace(joined, r"(?<=[A-Za-z0-9]>)(<\.>)+(?=<[A-Z])", ""), r"<\.>", "<?>")
     sequence = F.when(suspect, F.regexp_replace(joined, r"(<\?>)+", "<?>")).otherwise("")
     steps = F.array(*[F.struct(F.lit(licence).alias("licence"), F.lit(pattern).alias("pattern")) for licence, pattern in patterns(sentences, rules)])
     start = F.struct(F.col("sequence").alias("rest"), F.array().cast("array<string>").alias("found"))

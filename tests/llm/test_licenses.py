@@ -63,3 +63,24 @@ def test_every_licence_line_of_documents(spark):
     planted = {x for text in docs.values() for x in text if re.match("(Licensed|Released|This work is licensed) under |All rights reserved", x) and len(x) < 100}
     assert planted == set(lines)
     assert rows == {d: {lines[x] for x in text if x in lines} for d, text in docs.items()}
+
+
+def test_numbered_and_spaced_texts(spark):
+    by = dict(licenses.SENTENCES)
+    clauses = [by[n] for n in ("BSDSource", "BSDBinary", "BSDEndorse")]
+    owner = "Copyright (c) 2020, Some Owner\nAll rights reserved.\n\n"
+    bsd = lambda k, head="", mark="{}. ": head + by["BSDGrant"] + "\n\n" + "\n\n".join(mark.format(i) + c.replace(", this", ", this\n   ") for i, c in enumerate(clauses[:k], 1))
+    apache = (
+        'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\n'
+        "You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\n"
+        'Unless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an "AS IS" BASIS,\n'
+        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\nSee the License for the specific language governing permissions and\nlimitations under the License.\n"
+    )
+    end = '\n\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS "AS IS".'
+    cases = [
+        (bsd(3), "BSD-3-Clause"), (bsd(2), "BSD-2-Clause"), (bsd(1), "BSD-1-Clause"), (bsd(3, owner) + end, "BSD-3-Clause"), (bsd(2, owner), "BSD-2-Clause"), (bsd(1, owner), "BSD-1-Clause"),
+        (bsd(3, mark="* "), "BSD-3-Clause"), (bsd(2).replace("1. ", "a. ").replace("2. ", "b. "), "BSD-2-Clause"), (apache, "Apache-2.0"), ("Some code.\n\n" + apache + "\nimport x", "Apache-2.0"),
+    ]
+    rows = found(spark, [t for t, _ in cases] + [bsd(2).replace("1. ", "Another sentence. "), bsd(2).replace("1. ", "別の文です. ")])
+    assert [(rows[i].licences, rows[i].n_unused) for i in range(len(cases))] == [(x, 0) for _, x in cases]
+    assert rows[len(cases)].licences == rows[len(cases) + 1].licences == "" and rows[8].n_known == 6
