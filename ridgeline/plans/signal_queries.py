@@ -130,9 +130,9 @@ QUERIES = {
     "window_features": lambda s, d: rounded(feature_matrix(s, d)),
     "vif_diagnostic": lambda s, d: rounded(ml.vif(feature_matrix(s, d), signal.FEATURES), 3),
     "vif_filter": lambda s, d: ml.vif_filter(feature_matrix(s, d), signal.FEATURES),
-    "gbm_nested_cv": lambda s, d: rounded(ml.nested_cv(feature_matrix(s, d), signal.FEATURES, grid=[(10, 2, 0.1, 0.8), (10, 3, 0.1, 0.8)])),
-    "gbm_permutation": lambda s, d: rounded(ml.permutation_null(feature_matrix(s, d), signal.FEATURES, times=3, params=(8, 2, 0.1, 0.8))),
-    "gbm_feature_importance": lambda s, d: rounded(ml.importance(feature_matrix(s, d), signal.FEATURES, params=(10, 2, 0.1, 0.8))),
+    "gbm_nested_cv": lambda s, d: rounded(ml.nested_cv(feature_matrix(s, d), signal.FEATURES)),
+    "gbm_permutation": lambda s, d: rounded(ml.permutation_null(feature_matrix(s, d), signal.FEATURES)),
+    "gbm_feature_importance": lambda s, d: rounded(ml.importance(feature_matrix(s, d), signal.FEATURES)),
 }
 
 _SEVEN = """time_features AS (SELECT animal, label, win, min(v) AS "min", max(v) AS "max", sum(CASE WHEN k > 0 AND (v < 0) <> (before < 0) THEN 1 ELSE 0 END)::BIGINT AS zero_crossings,
