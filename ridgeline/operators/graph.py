@@ -2,18 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` as a written table in the folder of spark.checkpoint.dir, or of this machine where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
+from .shuffles import checkpoint, frequent_limit, join_frequent
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -22,21 +14,25 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     Labels start at the smallest neighbour. In each round an edge offers the label
     at one end to the other end and to that end's own label, then labels of labels
     are taken; the number of rounds grows with the logarithm of the longest path.
-    All steps are joins and minima, and each round is checkpointed. Null ends are
-    ignored; a loop names its node alone.
+    All steps are joins and minima, and each round is checkpointed. The edges of a
+    hub and the nodes of a large component are dealt over several tasks. Null ends
+    are ignored; a loop names its node alone.
     """
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     both = checkpoint(pairs.union(pairs.select("b", "a")).distinct())
-    labels = checkpoint(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "node"))
+    labels = checkpoint(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label"), F.count(F.lit(1)).alias("degree")).withColumnRenamed("a", "node"))
+    hubs = frequent_limit(labels, "degree")
     while True:
-        left = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
-        right = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-        ends = both.join(left, "a").join(right, "b").where("lb < la")
+        left = labels.select(F.col("node").alias("a"), F.col("label").alias("la"), F.col("degree").alias("na"))
+        right = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"), F.col("degree").alias("nb"))
+        ends = join_frequent(join_frequent(both, left, ["a"], "na", limit=hubs).drop("na"), right, ["b"], "nb", limit=hubs).where("lb < la")
         offers = ends.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("lb").alias("label")), F.struct(F.col("la").alias("node"), F.col("lb").alias("label")))).alias("x")).select("x.*")
-        moved = offers.groupBy("node").agg(F.min("label").alias("offer"))
-        hooked = labels.join(moved, "node", "left").select("node", F.least("label", "offer").alias("label"), F.col("offer").isNotNull().alias("moved"))
+        moved = checkpoint(offers.groupBy("node").agg(F.min("label").alias("offer")))
+        if moved.isEmpty():
+            return labels.select("node", F.col("label").alias("component"))
+        hooked = checkpoint(labels.join(moved, "node", "left").select("node", F.least("label", "offer").alias("label"), "degree"))
         parents = hooked.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        new = checkpoint(hooked.join(parents, "label", "left").select("node", F.least("label", "above").alias("label"), (F.col("moved") | (F.col("above") < F.col("label"))).alias("moved")))
-        labels = new.select("node", "label")
-        if new.where("moved").isEmpty():
-            return labels.withColumnRenamed("label", "component")
+        known = hooked.groupBy("label").agg(F.count(F.lit(1)).alias("n")).join(parents, "label")
+        limit = frequent_limit(hooked.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "n")
+        jumped = hooked.join(parents, "label") if limit is None else join_frequent(hooked, checkpoint(known), ["label"], "n", limit=limit)
+        labels = checkpoint(jumped.select("node", F.least("label", "above").alias("label"), "degree"))
