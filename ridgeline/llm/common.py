@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
+from ..operators.shuffles import checkpoint, join_frequent  # noqa: F401
+
 #: A word, as a regular expression of Spark and of RE2.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,17 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage of ``df`` with files in the folder of spark.checkpoint.dir.
-
-    Where that setting is absent (tests), a folder of this machine is used.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -42,6 +33,11 @@ def text_column(df: DataFrame, name: str) -> Column:
     return F.coalesce(column(df, name).cast("string"), F.lit(""))
 
 
+def is_sortable(kind: DataType) -> bool:
+    """Whether columns of this type are used to choose between rows that are equal otherwise."""
+    return kind.typeName() in ("string", "long", "integer", "double", "boolean", "timestamp", "date")
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """``stem``, with underscores until no column of ``df`` has that name."""
     taken = {c.lower() for c in df.columns}
@@ -50,6 +46,27 @@ def free_name(df: DataFrame, stem: str) -> str:
     return stem
 
 
+def give_back() -> None:
+    """Return this process's free memory to the system: Python workers stay for later tasks, whose needs differ."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library than the GNU one
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """``df.mapInArrow(run, schema)``, after which a task gives its free memory back."""
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(held, schema)
+
+
 def with_arrow_column(df: DataFrame, name: str, kind: DataType, make: Callable[[pa.RecordBatch], pa.Array]) -> DataFrame:
     """``df`` with the column ``name`` that ``make`` gives for each batch; columns are told by place, whatever they are called."""
     numbered = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
@@ -58,4 +75,4 @@ def with_arrow_column(df: DataFrame, name: str, kind: DataType, make: Callable[[
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, make(batch)], names=[*batch.schema.names, name])
 
-    return numbered.mapInArrow(run, StructType([*numbered.schema.fields, StructField(name, kind)])).toDF(*df.columns, name)
+    return map_batches(numbered, run, StructType([*numbered.schema.fields, StructField(name, kind)])).toDF(*df.columns, name)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType
 
 from . import text as words
-from .common import checkpoint, column, free_name, text_column, with_arrow_column
+from .common import checkpoint, column, free_name, is_sortable, map_batches, text_column, with_arrow_column
 
 #: The filter has 16 cells a row, rounded up to a power of two, and never more than this (32 MB).
 MAX_CELL_BITS = 28
@@ -91,7 +91,7 @@ def repeated_cells(hashed: DataFrame, digest: str, rows: int) -> tuple[bytes, in
                 again[np.frombuffer(twice, np.uint32) & np.uint32(size - 1)] = True
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(again).tobytes()], pa.binary())], names=["segment", "bits"])
 
-    counted = hashed.select(digest).mapInArrow(count, "segment int, hit binary, hit_again binary")
+    counted = map_batches(hashed.select(digest), count, "segment int, hit binary, hit_again binary")
     merged = counted.groupBy("segment").applyInArrow(merge, "segment int, bits binary").collect()
     filter_bits = bytearray(max(1, 1 << (bits - 3)))
     for row in merged:  # SEGMENTS rows at most, 32 MB in all at most
@@ -148,7 +148,7 @@ def deduplicate(df: DataFrame, id_column: str = "doc_id", text: str = "text") ->
     hashed = with_digest(df, text, sha)
     marked = with_suspicion(hashed, sha, maybe, checkpoint(hashed.select(sha)))
     names = [column(marked, c).alias(f"c{i}") for i, c in enumerate(df.columns)]
-    sortable = [column(marked, f.name) for f in df.schema.fields if f.dataType.typeName() in ("string", "long", "integer", "double", "boolean", "timestamp", "date")]
+    sortable = [column(marked, f.name) for f in df.schema.fields if is_sortable(f.dataType)]
     order = F.struct(column(marked, id_column).isNull(), column(marked, id_column), *sortable)
     unique = marked.where(~F.col(maybe)).select(*names)
     first = marked.where(F.col(maybe)).groupBy(sha).agg(F.min_by(F.struct(*names), order).alias("row")).select("row.*")

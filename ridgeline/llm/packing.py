@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as words
-from .common import checkpoint, column, table, text_column
-from .tokens import encoder
+from .common import checkpoint, column, map_batches, table, text_column
+from .tokens import Encoder
 
 CAPACITY = 2048
 END = 1
@@ -136,7 +136,7 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int, end: int, id_column: st
     schema = "doc_id " + df.schema[id_column].dataType.simpleString() + ", start long, length int, crc long, crc_head long, crc_tail long, doc_tokens long" + ", ids binary" * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, end).encode
+        encode = Encoder(tokenizer, end).encode
         for batch in batches:
             for part in words.by_bytes(batch, "text"):
                 ids, at = encode(part.column(1))
@@ -152,7 +152,7 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int, end: int, id_column: st
                 arrays[0] = part.column(0).take(arrays[0])
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "length", "crc", "crc_head", "crc_tail", "doc_tokens", "ids"][: len(arrays)])
 
-    return df.select(column(df, id_column).alias("doc_id"), text_column(df, text).alias("text")).mapInArrow(run, schema)
+    return map_batches(df.select(column(df, id_column).alias("doc_id"), text_column(df, text).alias("text")), run, schema)
 
 
 def _ranked(made: DataFrame, rows: int) -> DataFrame:
@@ -213,7 +213,7 @@ def pack(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END
                 names.append("ids")
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, pa.int64()) for x in out], names=names)
 
-    return _ranked(made, rows).select("doc_id", "start", "length", "crc", "crc_head", "crc_tail", "doc_tokens", "rank", *["ids"] * keep_ids).mapInArrow(place, schema)
+    return map_batches(_ranked(made, rows).select("doc_id", "start", "length", "crc", "crc_head", "crc_tail", "doc_tokens", "rank", *["ids"] * keep_ids), place, schema)
 
 
 def default_tokenizer() -> str:

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, column, table, text_column
+from .common import checkpoint, column, map_batches, table, text_column
 
 #: Kinds in the order in which spans at one place are listed; the first three stand alone.
 KINDS = ("assign", "access", "hex", "identifier", "random", "endpoint")
@@ -105,7 +105,7 @@ def parts(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(PART))], names=["doc_id", "mark", "parts"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, mark long, parts array<struct<start: long, kind: int, end: long>>")
+    return map_batches(docs, run, f"doc_id {kind}, mark long, parts array<struct<start: long, kind: int, end: long>>")
 
 
 def linked(found: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed at a time; bounds the size of temporary arrays.
-SEGMENT = 1 << 21
+SEGMENT = 1 << 19
 
 SEPARATORS = bytes([0x20, *range(0x09, 0x0E)])
 
@@ -40,9 +40,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-@functools.lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
+    """The first ``n`` powers of the base and of its inverse modulo 2**64."""
     tables = []
     for base in (_BASE, pow(_BASE, -1, 1 << 64)):
         table = np.full(n, base, dtype=np.uint64)
@@ -89,12 +88,13 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """A 64-bit hash of each span; spans are in order and don't overlap."""
     out = np.empty(len(starts), np.uint64)
     i, n = 0, len(starts)
+    power, inverse = _powers(max(1, min(SEGMENT, len(data))))
     while i < n:
         low = int(starts[i])
         j = max(i + 1, int(np.searchsorted(ends, low + SEGMENT, "right")))
         part = data[low : int(ends[j - 1])]
-        size = max(SEGMENT, len(part))
-        power, inverse = _powers(1 << (size - 1).bit_length())
+        if len(part) > len(power):  # one very long span
+            power, inverse = _powers(len(part))
         sums = _BYTE[part]
         sums *= power[: len(part)]
         np.cumsum(sums, out=sums)

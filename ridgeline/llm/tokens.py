@@ -22,8 +22,8 @@ import pyarrow as pa
 
 from . import text as words
 
-#: Units and ids in a worker's cache, about 100 MB; when full it is emptied.
-CACHE_UNITS, CACHE_IDS = 1_500_000, 8_000_000
+#: Units and ids in a task's cache, about 25 MB; when full it is emptied.
+CACHE_UNITS, CACHE_IDS = 400_000, 2_000_000
 
 #: White space outside ASCII (fixed values, as UTF-8).
 _OTHER_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
@@ -74,7 +74,10 @@ def unit_starts(data: np.ndarray, offsets: np.ndarray, whole: list[int]) -> np.n
 
 
 class Encoder:
-    """``encode(texts)`` gives all ids in one array, ``end`` after each text, and the rows' offsets."""
+    """``encode(texts)`` gives all ids in one array, ``end`` after each text, and the rows' offsets.
+
+    A task makes its own: kept from task to task, it would stay in memory while workers serve other stages.
+    """
 
     def __init__(self, path: str, end: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -162,13 +165,3 @@ class Encoder:
         total = np.concatenate([[0], np.cumsum(length)])
         ids = self.ids[np.arange(total[-1]) + np.repeat(begin - total[:-1], length)]
         return ids, np.concatenate([[0], total[row_ends]])
-
-
-_ENCODERS: dict[tuple[str, int], Encoder] = {}
-
-
-def encoder(path: str, end: int) -> Encoder:
-    """This process's encoder for a file; Python workers live on from task to task."""
-    if (path, end) not in _ENCODERS:
-        _ENCODERS[path, end] = Encoder(path, end)
-    return _ENCODERS[path, end]

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import text as words
-from .common import checkpoint, column, free_name, table, text_column, with_arrow_column
+from .common import checkpoint, column, free_name, map_batches, table, text_column, with_arrow_column
 
 SAMPLE = 20_000
 FEATURES = 4096
@@ -158,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
                 keep = np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])) if len(h) else np.zeros(0, bool)
                 yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64))], names=["feature"])
 
-    frequent = rows.where("toxic = 1").select("text").mapInArrow(distinct, "feature long").groupBy("feature").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(LEAST, n_pos))
+    frequent = map_batches(rows.where("toxic = 1").select("text"), distinct, "feature long").groupBy("feature").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(LEAST, n_pos))
     found = frequent.toArrow()  # as many as the toxic rows of the sample have
     keys, pos = found.column("feature").to_numpy().view(np.uint64), found.column("n").to_numpy()
     order = np.argsort(keys)
@@ -176,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["at", "n"])
 
-    held = rows.where("toxic = 0").select("text").mapInArrow(clean, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    held = map_batches(rows.where("toxic = 0").select("text"), clean, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     neg = np.zeros(len(keys), np.int64)
     neg[held.column("at").to_numpy()] = held.column("n").to_numpy()
     ratio = _likelihood_ratio(pos, neg, n_pos, n_neg)
@@ -199,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
                 lists = pa.ListArray.from_arrays(cuts, pa.array(once % len(keys), pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(1), lists], names=["toxic", "features"])
 
-    train = rows.mapInArrow(sparse, "toxic int, features array<long>").withColumn("place", F.xxhash64("features")).toArrow().sort_by([("toxic", "ascending"), ("place", "ascending")])
+    train = map_batches(rows, sparse, "toxic int, features array<long>").withColumn("place", F.xxhash64("features")).toArrow().sort_by([("toxic", "ascending"), ("place", "ascending")])
     toxic = train.column("toxic").to_numpy()
     lists = train.column("features").combine_chunks()
     feature, length = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
