@@ -108,11 +108,12 @@ def wilson(k: Column, n: Column, z: float = Z_975) -> tuple[Column, Column]:
 
 
 def auc(df: DataFrame, label: str, score: str, *by: str) -> DataFrame:
-    """Area under the ROC curve by mid-ranks; null if a class is missing."""
-    ranked = df.withColumn("_rank", mid_rank(score, *by))
-    pos, neg = F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)
-    ranks = F.sum(F.when(F.col(label) == 1, F.col("_rank")))
-    table = ranked.groupBy(*by).agg(pos.alias("n1"), neg.alias("n0"), ranks.alias("r1"))
+    """Area under the ROC curve by mid-ranks of distinct scores; null if a class is missing. Rows without a score don't count."""
+    # equal scores first, so ranks run over distinct scores
+    counted = df.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("_score")).agg(F.count(F.lit(1)).alias("_c"), F.count_if(F.col(label) == 1).alias("_c1"), F.count_if(F.col(label) == 0).alias("_c0"))
+    below = F.coalesce(F.sum("_c").over(Window.partitionBy(*by).orderBy("_score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = counted.withColumn("_rank", below + (F.col("_c") + 1) / F.lit(2.0))
+    table = ranked.groupBy(*by).agg(F.sum("_c1").alias("n1"), F.sum("_c0").alias("n0"), F.sum(F.col("_c1") * F.col("_rank")).alias("r1"))
     return table.withColumn("auc", F.try_divide(F.col("r1") - F.col("n1") * (F.col("n1") + 1) / F.lit(2.0), (F.col("n1") * F.col("n0")).cast("double"))).drop("r1")
 
 

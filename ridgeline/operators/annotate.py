@@ -12,7 +12,7 @@ def recode(df: DataFrame, column: str, codes: DataFrame, out: str, default: Colu
     """``column`` through ``codes`` (key, value); what isn't there gets ``default``."""
     default = default if isinstance(default, Column) else F.lit(default)
     keyed = codes.select(F.col("key").alias("_key"), F.col("value").alias("_value"))
-    return df.join(F.broadcast(keyed), df[column] == keyed["_key"], "left").withColumn(out, F.coalesce("_value", default)).drop("_key", "_value")
+    return df.join(keyed, df[column] == keyed["_key"], "left").withColumn(out, F.coalesce("_value", default)).drop("_key", "_value")
 
 
 def by_rules(column: str, rules: Sequence[tuple[str, str]], default: str | None = None) -> Column:

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import bonferroni, normal_tail
+
 BEAD = ("sample", "bead")
 
 
@@ -44,10 +46,19 @@ def pseudobulk(counts: DataFrame, variable: str = "category") -> DataFrame:
     return counts.groupBy(F.col(variable).alias("category"), "sample", "gene").agg(F.sum("n").alias("n"))
 
 
+def pseudobulk_by(counts: DataFrame, variables: Sequence[str]) -> DataFrame:
+    """(variable, category, sample, gene, n): counts summed over beads by each of several variables, in one pass."""
+    sums = counts.groupingSets([[v, "sample", "gene"] for v in variables], *variables, "sample", "gene").agg(F.sum("n").alias("n"), *[F.grouping(v).alias(f"_{v}") for v in variables])
+    which = F.coalesce(*[F.when(F.col(f"_{v}") == 0, F.lit(v)) for v in variables])
+    value = F.coalesce(*[F.when(F.col(f"_{v}") == 0, F.col(v).cast("string")) for v in variables])
+    return sums.select(which.alias("variable"), value.alias("category"), "sample", "gene", "n")
+
+
 def pseudobulk_pivot(bulk: DataFrame, genes: DataFrame, samples: Sequence) -> DataFrame:
     """Genes of the union space by sample, zero where nothing was counted; categories are those of ``bulk``."""
     wide = bulk.groupBy("category", "gene").pivot("sample", list(samples)).sum("n")
-    grid = bulk.select("category").distinct().join(F.broadcast(genes.select("gene").distinct()) if genes.count() < 1_000_000 else genes.select("gene").distinct(), how="cross")
+    # every category has every gene, by definition; categories are the few
+    grid = genes.select("gene").distinct().crossJoin(F.broadcast(bulk.select("category").distinct()))
     named = [F.coalesce(F.col(str(s)), F.lit(0)).alias(f"s{s}") for s in samples]
     return grid.join(wide, ["category", "gene"], "left").select("category", "gene", *named)
 
@@ -75,6 +86,13 @@ def depth_status(bulk: DataFrame, share: float, samples: int) -> DataFrame:
     return table.select("category", "min_depth", "mean_depth", F.when(F.col("min_depth") < share * F.col("mean_depth"), "skipped_low_depth").otherwise("ok").alias("status"))
 
 
+def depth_minimum(bulk: DataFrame, least: int, samples: int) -> DataFrame:
+    """(category, min_depth, status): ``skipped_low_depth`` where a sample's total is under ``least`` (a missing sample has 0), else ``analysed``."""
+    table = totals(bulk).groupBy("category").agg(F.min("total").alias("lowest"), F.count(F.lit(1)).alias("have"))
+    table = table.withColumn("min_depth", F.when(F.col("have") < samples, F.lit(0)).otherwise(F.col("lowest")))
+    return table.select("category", "min_depth", F.when(F.col("min_depth") < least, "skipped_low_depth").otherwise("analysed").alias("status"))
+
+
 def threshold_sums(counts: DataFrame, confidence: str, thresholds: Sequence[float]) -> DataFrame:
     """(threshold, sample, gene, n): counts at or over each threshold, in one pass over the counts."""
     sums = [F.sum(F.when(F.round(confidence, 2) >= t, F.col("n")).otherwise(0)).alias(f"t{i}") for i, t in enumerate(thresholds)]
@@ -114,3 +132,36 @@ def wilcoxon_sparse(counts: DataFrame, beads: DataFrame) -> DataFrame:
     zeros, zeros1 = F.col("n1") + F.col("n0") - F.col("seen"), F.col("n1") - F.col("seen1")
     rank_sum = F.col("own") + F.col("seen1") * zeros + zeros1 * (zeros + 1) / F.lit(2.0)
     return table.select("gene", "seen", rank_sum.alias("rank_sum"), (rank_sum - F.col("n1") * (F.col("n1") + 1) / F.lit(2.0)).alias("u"))
+
+
+def bead_level_test(counts: DataFrame, beads: DataFrame, least: int = 3) -> DataFrame:
+    """Per category and gene, beads of group 1 against those of group 0 of ``beads`` (category, sample, bead, grp).
+
+    (category, gene, u, p, p_adjusted, log2_fc, pct_1, pct_2): the rank-sum test in its normal approximation with ties
+    and continuity corrected, Bonferroni over the category's genes, the difference of log2 of mean counts plus one, and
+    the shares of beads with the gene. Samples with fewer than ``least`` beads of a category are left out of it. Only
+    counted beads are ranked, as in :func:`wilcoxon_sparse`.
+    """
+    enough = beads.groupBy("category", "sample").agg(F.count(F.lit(1)).alias("have")).where(F.col("have") >= least)
+    kept = beads.join(enough.select("category", "sample"), ["category", "sample"], "left_semi")
+    sizes = kept.groupBy("category").agg(F.count_if(F.col("grp") == 1).cast("double").alias("n1"), F.count_if(F.col("grp") == 0).cast("double").alias("n0"))
+    seen = counts.where("n > 0").groupBy("category", *BEAD, "gene").agg(F.sum("n").alias("n")).join(kept, ["category", *BEAD])
+    by_value = seen.groupBy("category", "gene", "n").agg(F.count(F.lit(1)).cast("double").alias("c"), F.count_if(F.col("grp") == 1).cast("double").alias("c1"))
+    upto = Window.partitionBy("category", "gene").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    by_value = by_value.withColumn("below", F.coalesce(F.sum("c").over(upto), F.lit(0.0)))
+    table = by_value.groupBy("category", "gene").agg(
+        F.sum("c").alias("seen"), F.sum("c1").alias("seen1"), F.sum(F.col("c1") * (F.col("below") + (F.col("c") + 1) / 2)).alias("own"),
+        F.sum(F.pow("c", F.lit(3.0)) - F.col("c")).alias("ties"), F.sum(F.col("n") * F.col("c1")).alias("s1"), F.sum(F.col("n") * (F.col("c") - F.col("c1"))).alias("s0"),
+    ).join(sizes, "category")
+    n1, n0 = F.col("n1"), F.col("n0")
+    n, zeros, zeros1 = n1 + n0, n1 + n0 - F.col("seen"), n1 - F.col("seen1")
+    u = F.col("own") + F.col("seen1") * zeros + zeros1 * (zeros + 1) / 2 - n1 * (n1 + 1) / 2
+    ties = F.col("ties") + F.pow(zeros, F.lit(3.0)) - zeros
+    sd = F.sqrt(n1 * n0 / 12 * (n + 1 - F.try_divide(ties, n * (n - 1))))
+    z = F.try_divide(F.abs(u - n1 * n0 / 2) - 0.5, sd)
+    table = table.select(
+        "category", "gene", u.alias("u"), F.least(F.lit(1.0), 2 * normal_tail(F.greatest(z, F.lit(0.0)))).alias("p"),
+        F.log2(F.try_divide(F.try_divide(F.col("s1"), n1) + 1, F.try_divide(F.col("s0"), n0) + 1)).alias("log2_fc"),
+        F.try_divide(F.col("seen1"), n1).alias("pct_1"), F.try_divide(F.col("seen") - F.col("seen1"), n0).alias("pct_2"),
+    )
+    return bonferroni(table, "p", "p_adjusted", "category")

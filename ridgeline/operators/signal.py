@@ -12,10 +12,31 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .shuffles import checkpoint, join_frequent
+
+#: Samples of one series in a range that one task puts in order.
+RANGE = 100_000
+
+
 def _animal() -> WindowSpec:
     return Window.partitionBy("animal")
 
 
+def _with_totals(series: DataFrame, *totals: Column) -> DataFrame:
+    """``series`` with ``totals`` of each series, and ``n``, its length; a long one is dealt over several tasks."""
+    sums = checkpoint(series.groupBy("animal").agg(F.count(F.lit(1)).alias("n"), *totals))
+    return join_frequent(series, sums, ["animal"], "n")
+
+
+def with_previous(series: DataFrame, name: str = "before") -> DataFrame:
+    """``series`` with the value of the sample before, in ranges of positions that also hold the last one of the range before."""
+    own = F.floor(F.col("pos") / F.lit(RANGE))
+    ranges = F.when(F.col("pos") % RANGE == RANGE - 1, F.array(own, own + 1)).otherwise(F.array(own))
+    spread = series.withColumn("_range", F.explode(ranges))
+    found = spread.withColumn(name, F.lag("v").over(Window.partitionBy("animal", "_range").orderBy("pos")))
+    return found.where(F.col("_range") == own).drop("_range")
+
+
 #: Frequency bands in Hz, both edges included (fixed values).
 BANDS = {"delta": (0.5, 4), "theta": (4, 8), "alpha": (8, 13), "beta": (13, 30), "slow_gamma": (30, 60), "fast_gamma": (60, 100), "high_freq": (100, 300)}
 TIME_FEATURES = ("min", "max", "zero_crossings", "energy", "rms", "signal_variability", "diff_variance", "num_peaks", "peak_valley_ratio", "std_peak_height")
@@ -31,15 +52,14 @@ def finite(df: DataFrame, value: str = "v") -> DataFrame:
 
 def centre_crop(series: DataFrame, keep: int) -> DataFrame:
     """The middle ``keep`` samples of each series, renumbered; a shorter one stays whole."""
-    n = F.count(F.lit(1)).over(_animal())
-    start = F.greatest(F.floor((n - keep) / F.lit(2)), F.lit(0))
-    return series.withColumn("start", start).where((F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("start") + keep)).withColumn("pos", (F.col("pos") - F.col("start")).cast("long")).drop("start")
+    start = F.greatest(F.floor((F.col("n") - keep) / F.lit(2)), F.lit(0))
+    return _with_totals(series).withColumn("start", start).where((F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("start") + keep)).withColumn("pos", (F.col("pos") - F.col("start")).cast("long")).select(series.columns)
 
 
 def zscore(series: DataFrame) -> DataFrame:
     """``v`` less its mean over the series, by the population standard deviation; null where that is 0."""
-    mean, sd = F.avg("v").over(_animal()), F.stddev_pop("v").over(_animal())
-    return series.withColumn("v", F.try_divide(F.col("v") - mean, sd))
+    whole = _with_totals(series, F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"))
+    return whole.withColumn("v", F.try_divide(F.col("v") - F.col("mean"), F.col("sd"))).select(series.columns)
 
 
 def negative(v: Column) -> Column:
@@ -58,11 +78,10 @@ def sliding_windows(series: DataFrame, size: int, step: int) -> DataFrame:
 
     A sample at ``pos`` is in windows floor(pos / step) and the few before; no array of a whole series is made.
     """
-    n = F.count(F.lit(1)).over(_animal())
-    last = F.least(F.floor(F.col("pos") / F.lit(step)), F.floor((n - size) / F.lit(step)))
+    last = F.least(F.floor(F.col("pos") / F.lit(step)), F.floor((F.col("n") - size) / F.lit(step)))
     first = F.greatest(F.ceil((F.col("pos") - (size - 1)) / F.lit(step)), F.lit(0))
-    spread = series.withColumn("first", first).withColumn("last", last).where("first <= last")
-    return spread.withColumn("win", F.explode(F.sequence("first", "last"))).withColumn("k", (F.col("pos") - F.col("win") * step).cast("long")).drop("first", "last")
+    spread = _with_totals(series).withColumn("first", first).withColumn("last", last).where("first <= last")
+    return spread.withColumn("win", F.explode(F.sequence("first", "last"))).withColumn("k", (F.col("pos") - F.col("win") * step).cast("long")).select(*series.columns, "win", "k")
 
 
 def min_windows(windows: DataFrame, least: int) -> DataFrame:
@@ -75,8 +94,8 @@ def time_features(series: DataFrame, size: int, step: int) -> DataFrame:
 
     Differences are taken once over the series; a window leaves out that of its first sample.
     """
-    before = F.lag("v").over(_animal().orderBy("pos"))
-    with_steps = series.withColumn("d", F.col("v") - before).withColumn("cross", (negative(F.col("v")) != negative(before)).cast("long"))
+    before = F.col("before")
+    with_steps = with_previous(series).withColumn("d", F.col("v") - before).withColumn("cross", (negative(F.col("v")) != negative(before)).cast("long"))
     inside = F.col("k") > 0
     windows = sliding_windows(with_steps, size, step)
     return windows.groupBy("animal", "label", "win").agg(

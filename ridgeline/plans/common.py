@@ -11,9 +11,17 @@ SIZE, STEP, LEAST = 16, 8, 7
 SERIES = """series AS (SELECT user_id AS animal, user_id % 2 AS label, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos,
   value - avg(value) OVER (PARTITION BY user_id) AS v FROM events)"""
 
-WINDOWS = f"""{SERIES}, numbered AS (SELECT *, count(*) OVER (PARTITION BY animal) AS n, lag(v) OVER (PARTITION BY animal ORDER BY pos) AS before FROM series),
-wins AS (SELECT animal, label, n, unnest(range(0, (n - {SIZE}) // {STEP} + 1)) AS win FROM (SELECT DISTINCT animal, label, n FROM numbered) WHERE n >= {SIZE}),
-windowed AS (SELECT w.animal, w.label, w.win, s.pos - w.win * {STEP} AS k, s.v, s.before FROM wins w JOIN numbered s ON s.animal = w.animal AND s.pos >= w.win * {STEP} AND s.pos < w.win * {STEP} + {SIZE})"""
+FOLDED = """series AS (SELECT user_id % 16 AS animal, user_id % 16 % 2 AS label, row_number() OVER (PARTITION BY user_id % 16 ORDER BY user_id, ts, event_id) - 1 AS pos,
+  value - avg(value) OVER (PARTITION BY user_id) AS v FROM events)"""
+
+
+def windows(series: str, size: int = SIZE, step: int = STEP) -> str:
+    return f"""{series}, numbered AS (SELECT *, count(*) OVER (PARTITION BY animal) AS n, lag(v) OVER (PARTITION BY animal ORDER BY pos) AS before FROM series),
+wins AS (SELECT animal, label, n, unnest(range(0, (n - {size}) // {step} + 1)) AS win FROM (SELECT DISTINCT animal, label, n FROM numbered) WHERE n >= {size}),
+windowed AS (SELECT w.animal, w.label, w.win, s.pos - w.win * {step} AS k, s.v, s.before FROM wins w JOIN numbered s ON s.animal = w.animal AND s.pos >= w.win * {step} AND s.pos < w.win * {step} + {size})"""
+
+
+WINDOWS = windows(SERIES)
 
 COUNTS = """counts AS (SELECT l_suppkey % 5 AS sample, l_orderkey AS bead, l_partkey AS gene, l_returnflag AS category, sum(l_quantity)::BIGINT AS n FROM lineitem GROUP BY ALL)"""
 BULK = f"""{COUNTS}, bulk AS (SELECT category, sample, gene, sum(n)::BIGINT AS n FROM counts GROUP BY ALL)"""

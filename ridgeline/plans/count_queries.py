@@ -128,7 +128,7 @@ def grouped_beads(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def expression_by_category(spark: SparkSession, sf: str) -> DataFrame:
-    """(category, gene, value): mean over samples of log counts per million, for the first brand's parts."""
+    """(category, gene, value): counts per million added over samples, by their number, for the first brand's parts (the markers); absent counts are 0."""
     wanted = tables.read(spark, sf, "part").where("p_brand = 'Brand#1'").select(F.col("p_partkey").alias("gene"))
     cells = counts.cpm(bulk(spark, sf)).join(F.broadcast(wanted) if wanted.count() < 100_000 else wanted, "gene", "left_semi")
     return cells.groupBy("category", "gene").agg((F.sum("cpm") / len(SAMPLES)).alias("value"))

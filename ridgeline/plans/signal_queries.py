@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from ..functions import stats
 from ..operators import ml, scenarios, signal
 from ..sources import tables
-from .common import LEAST, SERIES, SIZE, STEP, WINDOWS, r, rounded
+from .common import FOLDED, LEAST, SERIES, SIZE, STEP, WINDOWS, r, rounded, windows
 
 SEVEN = ("min", "max", "zero_crossings", "energy", "rms", "signal_variability", "diff_variance")
 KEYS = ["animal", "label", "win"]
 
+#: Windows of twice the sampling rate, so that their spectra are means of three segments.
+LONG = 64
+
 
 def series(spark: SparkSession, sf: str) -> DataFrame:
     return tables.series(spark, sf)
@@ -126,6 +129,7 @@ QUERIES = {
     "auc_by_rank": auc_by_rank,
     "outer_folds": outer_folds,
     "fold_interval": fold_interval,
+    "welch_segments": lambda s, d: rounded(signal.spectral_features(folded(s, d), LONG, LONG // 2, LONG / 2), 3),
     "dead_features": lambda s, d: signal.dead_features(feature_matrix(s, d)),
     "window_features": lambda s, d: rounded(feature_matrix(s, d)),
     "vif_diagnostic": lambda s, d: rounded(ml.vif(feature_matrix(s, d), signal.FEATURES), 3),
@@ -168,8 +172,24 @@ level AS (SELECT animal, label, win, avg(v) AS m, stddev_pop(v) AS sd FROM windo
 hits AS (SELECT l.animal, l.label, l.win, t.h, coalesce(t.peak AND t.h >= l.m + 0.5 * l.sd, false) AS is_peak, coalesce(NOT t.peak AND t.h <= l.m, false) AS is_valley
   FROM level l LEFT JOIN tops t ON t.animal = l.animal AND t.a - 1 >= l.win * {STEP} AND t.b + 1 <= l.win * {STEP} + {SIZE - 1})"""
 
+_MATRIX = f"""{windows(FOLDED)}, {_SEVEN}, {_PEAKS}, {_WELCH},
+peaks AS (SELECT animal, win, sum(is_peak::INT)::DOUBLE AS num_peaks, sum(is_peak::INT)::DOUBLE / (sum(is_valley::INT) + 1) AS peak_valley_ratio, coalesce(stddev_pop(CASE WHEN is_peak THEN h END), 0) AS std_peak_height FROM hits GROUP BY animal, win),
+power AS (SELECT animal, win, sum(a) FILTER (WHERE f >= 1 AND f < 4) AS delta_power, sum(a) FILTER (WHERE f >= 4 AND f < 8) AS theta_power, sum(a) AS total FROM area GROUP BY animal, win),
+matrix AS (SELECT t.* REPLACE (zero_crossings::DOUBLE AS zero_crossings), p.num_peaks, p.peak_valley_ratio, p.std_peak_height, w.delta_power, w.theta_power, coalesce(w.delta_power / nullif(w.total, 0), 0) AS delta_rel, coalesce(w.theta_power / nullif(w.total, 0), 0) AS theta_rel,
+  {", ".join(f"0.0::DOUBLE AS {f}" for f in signal.SPECTRAL_FEATURES if f.split("_")[0] not in ("delta", "theta"))} FROM time_features t JOIN peaks p USING (animal, win) JOIN power w USING (animal, win))"""
+_LONG = f"""{windows(FOLDED, LONG, LONG // 2)},
+parts AS (SELECT animal, label, win, s, k - s AS j, v - avg(v) OVER (PARTITION BY animal, win, s) AS x FROM windowed JOIN (SELECT unnest([0, {LONG // 4}, {LONG // 2}]) AS s) ON k >= s AND k < s + {LONG // 2}),
+one AS (SELECT animal, label, win, s, f, power(sum(x * t * cos(2 * pi() * f * j / {LONG // 2})), 2) + power(sum(x * t * sin(2 * pi() * f * j / {LONG // 2})), 2) AS p
+  FROM (SELECT *, 0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * j / {LONG // 2}) AS t FROM parts) CROSS JOIN (SELECT unnest(range(0, {LONG // 4 + 1})) AS f) GROUP BY ALL),
+psd AS (SELECT animal, label, win, f, CASE WHEN f IN (0, {LONG // 4}) THEN 1 ELSE 2 END * avg(p) / ({LONG // 2} * {3 * LONG // 16}::DOUBLE) AS p FROM one GROUP BY animal, label, win, f),
+area AS (SELECT animal, label, win, f, (p + lead(p) OVER (PARTITION BY animal, win ORDER BY f)) / 2 AS a FROM psd),
+bands AS (SELECT animal, label, win, sum(a) FILTER (WHERE f >= 1 AND f < 4) AS delta, sum(a) FILTER (WHERE f >= 4 AND f < 8) AS theta, sum(a) FILTER (WHERE f >= 8 AND f < 13) AS alpha, sum(a) FILTER (WHERE f >= 13 AND f < 16) AS beta, sum(a) AS total FROM area GROUP BY ALL)"""
+
 _FLOATS = [f for f in SEVEN if f != "zero_crossings"]
 ORACLES = {
+    "welch_segments": f"WITH {_LONG} SELECT animal, label, win, {', '.join(r(b, b + '_power', 3) + ', ' + r(f'{b} / total', b + '_rel', 3) for b in ('delta', 'theta', 'alpha', 'beta'))}, {', '.join(f'0.0::DOUBLE AS {f}' for f in signal.SPECTRAL_FEATURES if f.split('_')[0] not in ('delta', 'theta', 'alpha', 'beta'))} FROM bands",
+    "window_features": f"WITH {_MATRIX} SELECT animal, label, win, {', '.join(r(chr(34) + f + chr(34), chr(34) + f + chr(34)) for f in signal.FEATURES)} FROM matrix",
+    "dead_features": f"WITH {_MATRIX} SELECT * FROM ({' UNION ALL '.join(f'SELECT {chr(39)}{f}{chr(39)} AS feature, stddev_pop({chr(34)}{f}{chr(34)}) AS sd FROM matrix' for f in signal.FEATURES)}) WHERE sd < 1e-12",
     "group_difference": f"WITH {_MEANS}, {_SUMMARY}, {_RANKS.replace('{source}', '''(SELECT * FROM ps WHERE feature IN ('energy', 'rms', 'zero_crossings'))''')} SELECT c.feature, {r('m0', 'control_mean')}, {r('m1', 'exercised_mean')}, {r('d', 'cohens_d')}, {r('u', '''"mannwhitney_U"''')}, {r('p_bh', 'p_bh_corrected')} FROM cohen c JOIN bh USING (feature)",
     "center_crop": f"WITH {SERIES}, c AS (SELECT *, greatest((count(*) OVER (PARTITION BY animal) - 40) // 2, 0) AS s FROM series) SELECT animal, label, pos - s AS pos, {r('v', 'v', 9)} FROM c WHERE pos >= s AND pos < s + 40",
     "zscore_series": f"WITH {SERIES} SELECT animal, label, pos, {r('(v - avg(v) OVER w) / nullif(stddev_pop(v) OVER w, 0)', 'v')} FROM series WINDOW w AS (PARTITION BY animal)",

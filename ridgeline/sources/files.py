@@ -5,10 +5,14 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Most rows of a table inside a summary.
+SUMMARY_ROWS = 1000
+
+
 def matrix_market(spark: SparkSession, path: str) -> DataFrame:
     """(i, j, n) of a MatrixMarket coordinate file, 1-based; absent entries are zeros.
 
@@ -48,6 +52,15 @@ def named_files(df: DataFrame, pattern: str, *names: str) -> DataFrame:
     return df.drop("_file")
 
 
+def first_file(spark: SparkSession, folder: str, pattern: str, exclude: str | None = None) -> str | None:
+    """The path of the first file by name that matches the glob ``pattern``, but for those whose name matches the expression ``exclude``."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path")  # names alone are read
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    files = files if exclude is None else files.where(~name.rlike(exclude))
+    row = files.orderBy(name, "path").first()
+    return row["path"] if row else None
+
+
 def recordings(spark: SparkSession, path: str, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (file, row, samples) of a parquet folder that ``mapping`` (file, row, group) names, and the rows of ``mapping`` that aren't there."""
     data = spark.read.schema("file string, row int, samples array<double>").parquet(path)
@@ -55,17 +68,24 @@ def recordings(spark: SparkSession, path: str, mapping: DataFrame) -> tuple[Data
 
 
 def write_tables(tables: dict[str, DataFrame], folder: str, prefix: str = "") -> None:
-    """One CSV folder per table."""
+    """One CSV folder per table, each read again after it is written: a RuntimeError if rows are missing."""
     for name, df in tables.items():
-        df.write.mode("overwrite").csv(f"{folder}/{re.sub(r'[^A-Za-z0-9_]+', '_', prefix + name)}", header=True)
+        path = f"{folder}/{re.sub(r'[^A-Za-z0-9_]+', '_', prefix + name)}"
+        rows = Observation()
+        df.observe(rows, F.count(F.lit(1)).alias("n")).write.mode("overwrite").csv(path, header=True)
+        found = df.sparkSession.read.csv(path, header=True, multiLine=True, schema=", ".join(f"c{i} string" for i in range(len(df.columns)))).count()
+        if found != rows.get["n"]:
+            raise RuntimeError(f"{path} has {found} of {rows.get['n']} rows")
 
 
 def summary_json(parts: dict[str, DataFrame | str | int | float | None]) -> str:
-    """A nested summary: one-row tables become objects, others lists of objects."""
+    """A nested summary: one-row tables become objects, others lists of objects; a table of over SUMMARY_ROWS rows raises."""
     out = {}
     for name, part in parts.items():
         if isinstance(part, DataFrame):
-            rows = [r.asDict(recursive=True) for r in part.limit(1000).collect()]  # summaries are small by contract
+            rows = [r.asDict(recursive=True) for r in part.limit(SUMMARY_ROWS + 1).collect()]
+            if len(rows) > SUMMARY_ROWS:
+                raise ValueError(f"{name} has over {SUMMARY_ROWS} rows; write it as a table")
             part = rows[0] if len(rows) == 1 else rows
         out[name] = part
     return json.dumps(out, default=str, sort_keys=True)

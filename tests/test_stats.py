@@ -79,3 +79,11 @@ def test_signif(spark):
 def test_t_interval_of_one_value(spark):
     row = stats.t_interval(spark.createDataFrame([(2.5,)], "v double"), "v").first()
     assert (row["mean"], row["low"], row["high"]) == (2.5, 2.5, 2.5)
+
+
+def test_intervals_have_their_published_values(spark):
+    low, high = stats.wilson(F.lit(8.0), F.lit(10.0))
+    row = spark.range(1).select(low.alias("low"), high.alias("high")).first()
+    assert abs(row.low - 0.4901625) < 1e-6 and abs(row.high - 0.9433178) < 1e-6
+    row = stats.t_interval(spark.createDataFrame([(x,) for x in (1.0, 2.0, 3.0, 4.0)], "v double"), "v").first()
+    assert abs(row.low - 0.4457397) < 1e-5 and abs(row.high - 4.5542603) < 1e-5
