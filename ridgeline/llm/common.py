@@ -33,6 +33,13 @@ def text_column(df: DataFrame, name: str) -> Column:
     return F.coalesce(column(df, name).cast("string"), F.lit(""))
 
 
+def marked(df: DataFrame, id_column: str, text: str, *more: str) -> Column:
+    """A digest of a row's id and text, and of the columns ``more``."""
+    own = [column(df, c).cast("string") for c in (id_column, *more)]
+    named = [F.concat(F.coalesce(F.length(c).cast("string"), F.lit("")), F.lit(":"), F.coalesce(c, F.lit(""))) for c in own]
+    return F.unhex(F.md5(F.concat(*named, text_column(df, text))))
+
+
 def is_sortable(kind: DataType) -> bool:
     """Whether columns of this type are used to choose between rows that are equal otherwise."""
     return kind.typeName() in ("string", "long", "integer", "double", "boolean", "timestamp", "date")

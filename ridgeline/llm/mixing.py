@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpoint, column, free_name, partitions, table, text_column
+from .common import WORD, checkpoint, column, is_sortable, join_frequent, marked, partitions, table, text_column
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -57,7 +57,7 @@ def running_words(rows: DataFrame, mixed: DataFrame, count: int) -> DataFrame:
     sums = rows.groupBy("source", "range").agg(F.sum("size").alias("in_range"))
     sums = sums.withColumn("before", F.sum("in_range").over(Window.partitionBy("source").orderBy("range")) - F.col("in_range"))
     sums = sums.join(mixed, sums["source"].eqNullSafe(mixed["source"])).select(sums["source"].alias("s"), F.col("range").alias("r"), "before", "turn", "source_size", "target")
-    inside = Window.partitionBy("source", "range").orderBy("place", "id", "size")
+    inside = Window.partitionBy("source", "range").orderBy("place", "id", "size", "mark")
     rows = rows.withColumn("inside", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     joined = rows.join(sums, rows["source"].eqNullSafe(sums["s"]) & (rows["range"] == sums["r"]))
     return joined.withColumn("upto", F.col("before") + F.col("inside")).drop("s", "r", "before", "inside", "range")
@@ -75,21 +75,13 @@ def mix_end(queue: DataFrame, budget: float) -> Row | None:
     return queue.where(F.col("before") + F.col("inside") <= F.lit(budget)).agg(F.max(F.struct("finish", "turn"))).first()[0]
 
 
-def mix(df: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, id_column: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """One row per input row: doc_id, size, source_size, target, taken.
-
-    ``size`` is the number of words, ``taken`` the words the mix takes of the row:
-    its size for each pass in which it finishes in time, so 0, 1 or ``epochs``
-    times its size. Documents are taken whole; the one that would cross the
-    budget isn't taken. A null text
-    has size 0; null sources are one source, the last; null ids share one place.
-    Rows that repeat are rows of their own. Other columns are ignored. An empty
-    table gives no rows.
-    """
+def _mix(df: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, id_column: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """What :func:`mix` returns, and ``mark``, a digest of id, text and source."""
     rows = df.select(
         column(df, id_column).alias("id"), column(df, source).cast("string").alias("source"),
         F.regexp_count(text_column(df, text), F.lit(WORD)).cast("long").alias("size"),
         F.md5(F.coalesce(column(df, id_column).cast("string"), F.lit(""))).alias("place"),
+        marked(df, id_column, text, source).alias("mark"),
     )
     rows = checkpoint(rows)
     mixed = checkpoint(targets(rows, weights, share, epochs))
@@ -102,21 +94,44 @@ def mix(df: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHAR
         last = F.struct(F.lit(end["finish"]).alias("finish"), F.lit(end["turn"]).alias("turn")) if end else None
         times = times + (F.when(F.struct(f.alias("finish"), F.col("turn")) <= last, 1).otherwise(0) if end else 0)
     times = F.when(F.col("size") > 0, times).otherwise(0)
-    return placed.select(F.col("id").alias("doc_id"), "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * times).cast("long").alias("taken"))
+    return placed.select(F.col("id").alias("doc_id"), "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * times).cast("long").alias("taken"), "mark")
+
+
+def mix(df: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, id_column: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """One row per input row: doc_id, size, source_size, target, taken.
+
+    ``size`` is the number of words, ``taken`` the words the mix takes of the row:
+    its size for each pass in which it finishes in time, so 0, 1 or ``epochs``
+    times its size. Documents are taken whole; the one that would cross the
+    budget isn't taken. A null text
+    has size 0; null sources are one source, the last; null ids share one place.
+    Rows that repeat are rows of their own. Other columns are ignored. An empty
+    table gives no rows.
+    """
+    return _mix(df, weights, share, epochs, id_column, text, source).drop("mark")
 
 
-def mixed_documents(df: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", **parameters) -> DataFrame:
+def mixed_documents(df: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, id_column: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The rows of ``df`` that the mix takes, with all columns, once for each pass that takes them.
 
-    Rows meet their result by id and text size; rows that share both are one document
-    with as many copies, and each is written as often as the mix takes them on average, rounded up.
-    Documents without words are never taken.
+    Rows equal in id, text and source are one document with as many copies: the one
+    that sorts first by its other columns is written as often as the mix takes them
+    all together. So the words that are written are those that :func:`mix` takes.
+    Documents without words (null texts too) are never taken. An empty table gives
+    no rows; columns of any name pass through.
     """
-    found = mix(df, weights=parameters.get("weights", WEIGHTS), share=parameters.get("share", SHARE), epochs=parameters.get("epochs", EPOCHS), id_column=id_column, text=text, source=source)
-    times = found.where("taken > 0").groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.ceil(F.sum(F.col("taken") / F.col("size")) / F.count(F.lit(1))).alias("_times"))
-    size = F.regexp_count(text_column(df, text), F.lit(WORD)).cast("long")
-    joined = df.join(times, column(df, id_column).eqNullSafe(times["_id"]) & (size == times["_size"]))
-    return joined.withColumn(free_name(df, "pass"), F.explode(F.sequence(F.lit(1).cast("long"), times["_times"]))).select(*[column(df, c) for c in df.columns])
+    names = [f"c{i}" for i in range(len(df.columns))]
+    found = _mix(df, weights, share, epochs, id_column, text, source)
+    times = found.where("size > 0").groupBy("mark").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("taken") / F.col("size")).cast("long").alias("times"))
+    times = checkpoint(times.where("times > 0"))
+    own = df.select(*[column(df, c).alias(n) for c, n in zip(df.columns, names)], marked(df, id_column, text, source).alias("mark"))
+    taken = join_frequent(own, times, ["mark"], "rows")
+    out = taken.where("rows = 1").select(*names, "times")
+    if not times.where("rows > 1").isEmpty():
+        order = F.struct(*[n for n, f in zip(names, df.schema) if is_sortable(f.dataType)])
+        first = taken.where("rows > 1").groupBy("mark", "times").agg(F.min_by(F.struct(*names), order).alias("row"))
+        out = out.unionByName(first.select("row.*", "times"))
+    return out.withColumn("pass", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select(*names).toDF(*df.columns)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

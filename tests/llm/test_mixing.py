@@ -64,6 +64,16 @@ def test_mixed_documents(spark):
     assert Counter(r.doc_id for r in rows.collect()) == Counter({d: k for d, k in taken.items() if k})
 
 
+@pytest.mark.parametrize("rows", [ODD, [(i // 3, "w " * (3 + i % 3 * 8), "s") for i in range(30)], [(1, "a b", "s")] * 5 + [(1, "c d", "s"), (2, "a b", None)]])
+def test_mixed_documents_have_the_words_that_the_mix_takes(spark, rows):
+    df = documents(spark, rows)
+    taken = sum(r.taken for r in mixing.mix(df).collect())
+    out = mixing.mixed_documents(df)
+    assert out.columns == df.columns
+    assert sum(len(words(r.text)) for r in out.collect()) == taken
+    assert {(r.doc_id, r.text) for r in out.collect()} <= {x[:2] for x in rows}
+
+
 def test_empty_table(spark):
     assert mixing.mix(documents(spark, [])).collect() == []
     assert mixing.mixed_documents(documents(spark, [])).collect() == []
