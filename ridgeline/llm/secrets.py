@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -69,13 +71,15 @@ def kept(kind: int, match: re.Match) -> bool:
 
 def parts_of(raw: bytes, kinds: list[int]) -> list[dict]:
     """All parts of a text as kind, start and end in code points; weak ones that overlap a strong one are left out."""
-    found, strong = [], []
-    for kind in kinds:
-        for m in PATTERNS[kind].finditer(raw):
-            if kept(kind, m) and (kind < STRONG or not any(a < m.end() and m.start() < b for a, b in strong)):
-                found.append((m.start(), kind, m.end()))
-                if kind < STRONG:
-                    strong.append(m.span())
+    strong = sorted((m.start(), k, m.end()) for k in kinds if k < STRONG for m in PATTERNS[k].finditer(raw) if kept(k, m))
+    starts = [s for s, _, _ in strong]
+    upto = list(accumulate((e for _, _, e in strong), max))  # the furthest end of all spans up to each
+
+    def free(m: re.Match) -> bool:
+        before = bisect_left(starts, m.end())  # spans that start before its end
+        return not before or upto[before - 1] <= m.start()
+
+    found = strong + [(m.start(), k, m.end()) for k in kinds if k >= STRONG for m in PATTERNS[k].finditer(raw) if kept(k, m) and free(m)]
     found.sort()
     out, at, points = [], 0, 0
     places = {}

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 import pytest
 from helpers import ODD, SF, documents
@@ -40,6 +42,43 @@ def test_base_spans_against_brute_force(spark, where):
     assert strong == {d: base(t)[4] for d, t in docs}
 
 
+def linked_by_hand(text):
+    """All spans of a text: the base ones, and weak ones with a complementary part near by."""
+    strong = [(s, k, e) for s, k, e in sorted((m.start(), k, m.end()) for k, (p, ok) in enumerate(BASE) for m in p.finditer(text) if ok(m))]
+    weak = []
+    for k in (3, 4, 5):
+        for m in re.finditer(secrets.PATTERNS[k].pattern.decode(), text, secrets.PATTERNS[k].flags & ~re.U | re.A):
+            if (k != 4 or secrets.looks_random(m[0].encode())) and not any(a < m.end() and m.start() < b for a, _, b in strong):
+                weak.append((m.start(), k, m.end()))
+    every = strong + weak
+    added = [x for x in weak for y in every if abs(x[0] - y[0]) <= secrets.SCOPE and ((x[1] in (0, 2, 4)) != (y[1] in (0, 2, 4))) and (y[1] in (0, 2, 4) or y[1] in (1, 3, 5))]
+    return ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in sorted({*strong, *added}))
+
+
+def generated(seed):
+    rng = random.Random(seed)
+    token = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(28))
+    parts = [
+        lambda: f"client_id = app-{rng.randrange(999)}", token, lambda: f"https://example{rng.randrange(9)}.org/x", lambda: f"token: {token()[:10]}",
+        lambda: "AKIA" + token().upper()[:18], lambda: "%x" % rng.getrandbits(120), lambda: "w\u00e9rd " * rng.randrange(40), lambda: f"db{rng.randrange(9)}.example.org:5432",
+    ]
+    return " ".join(rng.choice(parts)() for _ in range(rng.randrange(25)))
+
+
+def test_added_spans_against_brute_force(spark):
+    docs = [(i, generated(i), "s") for i in range(150)]
+    rows = {r.doc_id: r.spans for r in secrets.scan(documents(spark, docs)).collect()}
+    want = {d: linked_by_hand(t) for d, t, _ in docs}
+    assert rows == want and any("random" in x for x in want.values())
+
+
+def test_a_text_of_many_parts_takes_linear_time():
+    text = " ".join(f"token={i:08d}x https://example.org/{i}" for i in range(60_000)).encode()
+    began = time.process_time()
+    assert len(secrets.parts_of(text, list(range(6)))) == 120_000
+    assert time.process_time() - began < 20
+
+
 def test_weak_parts_need_a_complement(spark):
     rows = {r.doc_id: [x.split(":")[0] for x in r.spans.split(",") if x] for r in secrets.scan(documents(spark, [(i, t, "s") for i, t in enumerate(CASES)])).collect()}
     assert rows[4] == ["endpoint", "random"]
