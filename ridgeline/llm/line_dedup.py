@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, column, table, text_column
+from .common import checkpoint, column, join_frequent, table, text_column
 
 #: A line on this many sites is boilerplate.
 SITES = 10
@@ -29,13 +29,14 @@ def has_text(line: Column) -> Column:
 
 
 def boilerplate(lines: DataFrame, sites: int = SITES) -> DataFrame:
-    """(line): hashes of ``lines`` (line, site) on ``sites`` distinct sites or more."""
+    """(line, rows): hashes of ``lines`` (line, site) on ``sites`` distinct sites or more, and how many rows each has."""
     margin = max(1.0, ERRORS * 1.04 / 2 ** (LOG_SIZE / 2) * sites)
-    spread = lines.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(LOG_SIZE)).alias("sketch")).select("line", F.hll_sketch_estimate("sketch").alias("n"))
+    spread = lines.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(LOG_SIZE)).alias("sketch"), F.count(F.lit(1)).alias("rows")).select("line", "rows", F.hll_sketch_estimate("sketch").alias("n"))
     spread = checkpoint(spread.where(F.col("n") >= sites - margin))
-    near = spread.where(F.col("n") <= sites + margin).select("line")
-    exact = lines.join(near, "line", "left_semi").distinct().groupBy("line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= sites)
-    return spread.where(F.col("n") > sites + margin).select("line").unionByName(exact.select("line"))
+    near = spread.where(F.col("n") <= sites + margin).select("line", "rows")
+    exact = join_frequent(lines, near, ["line"], "rows", "left_semi").distinct()
+    exact = exact.groupBy("line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= sites).join(near, "line")
+    return spread.where(F.col("n") > sites + margin).select("line", "rows").unionByName(exact.select("line", "rows"))
 
 
 def remove_boilerplate(df: DataFrame, id_column: str = "doc_id", text: str = "text", site: str = "source", sites: int = SITES) -> DataFrame:
@@ -51,7 +52,8 @@ def remove_boilerplate(df: DataFrame, id_column: str = "doc_id", text: str = "te
     split = F.split("text", "\n", -1)
     lines = docs.select("doc_id", "mark", "site", F.explode(split).alias("line")).where(has_text(F.col("line"))).withColumn("line", line_hash(F.col("line")))
     common = checkpoint(boilerplate(lines.select("line", "site"), sites))
-    hits = lines.select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "line").distinct().join(common, "line", "left_semi")
+    hits = lines.select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "line")
+    hits = join_frequent(hits, common, ["line"], "rows", "left_semi").distinct()
     bad = hits.groupBy("d", "m").agg(F.collect_set("line").alias("bad"))
     joined = docs.join(bad, docs["doc_id"].eqNullSafe(bad["d"]) & (docs["mark"] == bad["m"]), "left")
     kept = F.when(F.col("bad").isNull(), split).otherwise(F.filter(split, lambda x: ~(has_text(x) & F.array_contains("bad", line_hash(x)))))
