@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType
 
 from . import text as words
-from .common import checkpoint, column, free_name, is_sortable, map_batches, text_column, with_arrow_column
+from .common import checkpoint, column, free_name, is_sortable, join_frequent, map_batches, text_column, with_arrow_column
 
 #: The filter has 16 cells a row, rounded up to a power of two, and never more than this (32 MB).
 MAX_CELL_BITS = 28
@@ -130,11 +130,11 @@ def duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text") ->
     marked = with_suspicion(hashed, "sha", "maybe")
     single = marked.where(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
     suspects = marked.where("maybe").select("doc_id", "sha")
-    groups = suspects.groupBy("sha").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = checkpoint(suspects.groupBy("sha").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
     # rows equal in text and id are counted, then written out again by number
     numbered = suspects.groupBy("sha", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
     rows = numbered.select("sha", "doc_id", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
-    repeated = rows.join(groups, "sha").select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "sha")
+    repeated = join_frequent(rows, groups, ["sha"], "group_size").select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "sha")
     return single.unionByName(repeated).withColumn("text_sha256", F.lower(F.hex("sha"))).drop("sha")
 
 
