@@ -33,6 +33,9 @@ WINDOW, BLOCK = 20, 10
 #: Bytes of text in a chunk, about.
 CHUNK_BYTES = 4_000_000
 
+#: Bytes of text whose hashes make one hash partition, about; a task holds one.
+PART_BYTES = 32_000_000
+
 
 class _Chunk:
     """The documents of one chunk in order of id (null last), then text."""
@@ -185,12 +188,12 @@ def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text",
     if window < 2 * block - 1:
         raise ValueError("a window must hold a whole block wherever it lies")
     spark = df.sparkSession
-    count = partitions(spark)
     docs = df.select(column(df, id_column).cast("long").alias("doc_id"), text_column(df, text).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(count, -(-size // CHUNK_BYTES))
+    tasks = partitions(spark)
+    chunks, count = max(tasks, -(-size // CHUNK_BYTES)), max(tasks, -(-size // PART_BYTES))
     # the exchange below is the same in all three passes, so it runs once
-    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks))).repartition(min(chunks, 4 * count), "chunk")
+    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks))).repartition(min(chunks, 4 * max(tasks, count)), "chunk")
 
     binary, i32, i64 = pa.binary(), pa.int32(), pa.int64()
     probe_names, probe_types = ["part", "chunk", "blocks", "at", "twice", "others"], [i64, i64, binary, binary, binary, binary]
