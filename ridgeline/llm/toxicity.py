@@ -3,10 +3,12 @@
 ``P(grade >= k) = sigmoid(x . w + b_k)`` with one weight vector for all
 thresholds and falling ``b_k``; the expected severity is the sum of these over
 ``k``. Features are sparse: each distinct lower-case word of a text and its first
-4, 5 and 6 bytes, which catch inflected forms that the training rows lack.
+4, 5 and 6 bytes (up to a whole character), which catch inflected forms that the
+training rows lack.
 
-Labels say 0 or 1 only, so the grade of a toxic training row is 1, 2 or 3 by
-tercile of how many different features the text has. The model is fitted on at most ``sample`` labelled rows, the first by a hash of the id
+Labels say 0 or 1 only. The grade of a toxic training row is 1, 2 or 3 by tercile
+of the score that a binary model of the other half of the rows gives it: how surely
+toxic the text looks to a model that hasn't seen it. The model is fitted on at most ``sample`` labelled rows, the first by a hash of the id
 (repeated texts once); every row is scored on its whole text.
 """
 
@@ -50,7 +52,10 @@ def occurrences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     hashes, rows = [words.span_hashes(data, starts, ends)], [row]
     for k in PREFIXES:
         long = ends - starts >= k
-        h = words.span_hashes(data, starts[long], starts[long] + k)
+        cut = starts[long] + k
+        for _ in range(3):  # a character has three more bytes at most
+            cut += (cut < ends[long]) & ((data[np.minimum(cut, len(data) - 1)] & 0xC0) == 0x80)
+        h = words.span_hashes(data, starts[long], cut)
         hashes.append(h ^ np.uint64(0xA24BAED4963EE407 * k & (1 << 64) - 1))
         rows.append(row[long])
     return np.concatenate(hashes), np.concatenate(rows), np.diff(at)
@@ -130,6 +135,25 @@ def fit_ordinal(row: np.ndarray, feature: np.ndarray, grade: np.ndarray, feature
     return w, b[0] - np.concatenate([[0], np.cumsum(np.exp(b[1:]))])
 
 
+def held_out_scores(row: np.ndarray, feature: np.ndarray, toxic: np.ndarray, features: int) -> np.ndarray:
+    """The score of each row by a binary model of the other half of the rows (every second one of either label)."""
+    n = len(toxic)
+    half = np.empty(n, np.int64)
+    for label in (0, 1):
+        half[toxic == label] = np.arange((toxic == label).sum()) % 2
+    out = np.zeros(n)
+    for k in (0, 1):
+        own = np.flatnonzero(half != k)
+        place = np.full(n, -1)
+        place[own] = np.arange(len(own))
+        inside = place[row] >= 0
+        if not len(own):
+            continue
+        weights, _ = fit_ordinal(place[row[inside]], feature[inside], toxic[own].astype(np.int64), features, 1, rising=True)
+        out += np.where(half == k, np.bincount(row, weights=weights[feature], minlength=n), 0)
+    return out
+
+
 def _likelihood_ratio(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
     """How much more often toxic rows have a feature than others (G squared; 0 if not more often)."""
     share = (pos + neg) / (n_pos + n_neg)
@@ -203,9 +227,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
     toxic = train.column("toxic").to_numpy()
     lists = train.column("features").combine_chunks()
     feature, length = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
-    edges = np.quantile(length[toxic == 1], np.arange(1, grades) / grades)
-    grade = np.where(toxic == 1, 1 + np.searchsorted(edges, length, "right"), 0)
-    weights, thresholds = fit_ordinal(np.repeat(np.arange(len(toxic)), length), feature, grade, len(keys), grades, rising=True)
+    row = np.repeat(np.arange(len(toxic)), length)
+    held = held_out_scores(row, feature, toxic, len(keys))
+    edges = np.quantile(held[toxic == 1], np.arange(1, grades) / grades)
+    grade = np.where(toxic == 1, 1 + np.searchsorted(edges, held, "right"), 0)
+    weights, thresholds = fit_ordinal(row, feature, grade, len(keys), grades, rising=True)
     return Model(keys, weights, thresholds)
 
 
@@ -213,12 +239,13 @@ def score(df: DataFrame, model: Model, text: str = "text", name: str = "severity
     """``df`` with a struct ``name`` (expected, grade, p_toxic) as one more column; a null text counts as empty."""
     fields = list(pa.struct([("expected", pa.float64()), ("grade", pa.int32()), ("p_toxic", pa.float64())]))
     at = df.columns.index(text)
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    # arrays alone: a class would be looked up in the package, which workers may lack
+    shared = df.sparkSession.sparkContext.broadcast((model.keys, model.weights, model.thresholds))
 
     def severity(batch: pa.RecordBatch) -> pa.Array:
-        parts = []
+        fitted, parts = Model(*shared.value), []
         for part in words.by_bytes(batch, batch.schema.names[at]):
-            p = shared.value.probabilities(part.column(at))
+            p = fitted.probabilities(part.column(at))
             whole = np.concatenate([np.ones((len(p), 1)), p, np.zeros((len(p), 1))], axis=1)
             grade = np.argmax(whole[:, :-1] - whole[:, 1:], axis=1)
             parts.append(pa.StructArray.from_arrays([pa.array(p.sum(axis=1)), pa.array(grade, pa.int32()), pa.array(p[:, 0])], fields=fields))

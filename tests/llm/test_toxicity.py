@@ -1,5 +1,5 @@
 import numpy as np
-from helpers import ODD, documents
+from helpers import ODD, SF, documents
 
 from ridgeline.llm import toxicity
 
@@ -47,3 +47,42 @@ def test_empty_tables(spark):
     assert toxicity.toxicity(documents(spark, []), labels).collect() == []
     rows = toxicity.toxicity(documents(spark, ODD), labels).collect()
     assert len(rows) == len(ODD) and not any(r.toxic for r in rows)
+
+
+def test_scores_against_a_plain_version(spark):
+    """Sums over a text's set of features, one text and one feature at a time."""
+    import math
+
+    import numpy as np
+
+    from ridgeline.llm import text as words_of
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    model = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic"))
+    known = dict(zip(model.keys.tolist(), model.weights))
+
+    def weight(piece, k):
+        h = int(words_of.span_hashes(np.frombuffer(piece, np.uint8), np.array([0]), np.array([len(piece)]))[0])
+        return known.get(h ^ (0xA24BAED4963EE407 * k & (1 << 64) - 1) if k else h, 0.0)
+
+    def plain(text):
+        folded = "".join(c.lower() if c.isascii() and c.isalnum() else c if not c.isascii() else " " for c in text)
+        found = set()
+        for w in folded.split(" "):
+            raw = w.encode()
+            if raw:
+                found.add((raw, 0))
+            for k in (4, 5, 6):
+                if len(raw) >= k:
+                    cut = k
+                    while cut < len(raw) and raw[cut] & 0xC0 == 0x80:
+                        cut += 1
+                    found.add((raw[:cut], k))
+        score = sum(weight(p, k) for p, k in found)
+        return [1 / (1 + math.exp(-(score + t))) for t in model.thresholds]
+
+    rows = toxicity.score(docs, model).collect()
+    assert len(model.keys) or all(r.severity.p_toxic < 1e-9 for r in rows)
+    for r in rows:
+        want = plain(r.text or "")
+        assert abs(r.severity.p_toxic - want[0]) < 1e-9 and abs(r.severity.expected - sum(want)) < 1e-9
