@@ -161,7 +161,7 @@ def recognise(df: DataFrame, id_column: str = "doc_id", text: str = "text", sent
     ``licences`` are the distinct ones found, in order of the rules, joined by commas;
     ``sequence`` the identifiers in order of the text, with <?> for each stretch of
     other sentences between them; ``n_unused`` counts known sentences that no rule took.
-    A null, empty or blank text has none. Rows that repeat get equal results, a null id
+    A sentence also ends at U+0001. A null, empty or blank text has none. Rows that repeat get equal results, a null id
     stays null, other columns are ignored, and an empty table gives no rows.
     """
     table_ = known(sentences)

@@ -188,8 +188,9 @@ def verdict(rules: list[Rule]) -> Column:
 def fit(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
     """Rules from ``labels`` (doc_id, quality 0 or 1) and the statistics of those rows that the base rules pass."""
     chosen = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    # bounded by ``sample``
-    rows = stats.join(F.broadcast(chosen), "doc_id").where(~base_failed()).select("doc_id", "quality", *[F.expr(e).alias(f) for f, e in FEATURES.items()]).orderBy("doc_id").limit(2 * sample).collect()
+    known = stats.join(F.broadcast(chosen), "doc_id").where(~base_failed()).select("doc_id", F.struct("quality", *[F.expr(e).alias(f) for f, e in FEATURES.items()]).alias("row"))
+    # bounded by ``sample``: of rows that share an id, the one with the smallest statistics
+    rows = known.groupBy("doc_id").agg(F.min("row").alias("row")).orderBy("doc_id").select("doc_id", "row.*").collect()
     return learn([r.asDict() for r in rows], [r["quality"] == 0 for r in rows])
 
 
