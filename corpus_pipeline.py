@@ -1,7 +1,8 @@
 """A corpus pipeline: toxicity, exact and near duplicates, mixing, packing.
 
 Each stage takes all its predecessor kept and, but for the last, returns the
-columns of ``documents``.
+columns of ``documents`` and any others there are, whatever they are called. An
+empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -12,27 +13,40 @@ from ridgeline.llm import exact_dedup, mixing, near_dedup, packing, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the severity model, fitted on the labels of ``sf_dir``, doesn't call toxic."""
+    """Documents that the severity model, fitted on the labels of ``sf_dir``, doesn't call toxic.
+
+    Null and empty texts have no features and stay; rows that repeat share their fate.
+    """
     return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One row of each group of equal texts: the smallest id (null last), then the first by its other columns.
+
+    Null and empty texts are equal to each other.
+    """
     return exact_dedup.deduplicate(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by similarity."""
+    """One row of each group linked by similarity: the smallest id (null last).
+
+    Rows are told apart by id and text together. Texts without words are in no group and stay.
+    """
     return near_dedup.deduplicate(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, once for each time it takes them."""
+    """Documents that the mix takes, once for each time it takes them.
+
+    Texts without words are never taken; null sources are one source; rows equal in
+    id, text and source are written as often as the mix takes them together.
+    """
     return mixing.mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of training sequences."""
+    """The pieces of training sequences; rows that repeat are packed once each."""
     return packing.pack(docs, packing.default_tokenizer())
 
 
