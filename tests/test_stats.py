@@ -87,3 +87,10 @@ def test_intervals_have_their_published_values(spark):
     assert abs(row.low - 0.4901625) < 1e-6 and abs(row.high - 0.9433178) < 1e-6
     row = stats.t_interval(spark.createDataFrame([(x,) for x in (1.0, 2.0, 3.0, 4.0)], "v double"), "v").first()
     assert abs(row.low - 0.4457397) < 1e-5 and abs(row.high - 4.5542603) < 1e-5
+
+
+def test_large_groups_never_reach_the_exact_count(spark, monkeypatch):
+    rows = [("f", i % 2, float(i)) for i in range(3000)] + [("g", i % 2, float(i * i)) for i in range(12)]
+    long = spark.createDataFrame([(i, y, f, v) for i, (f, y, v) in enumerate(rows)], "animal int, label int, feature string, value double")
+    got = {r.feature: r.p for r in stats.mann_whitney_p(stats.mann_whitney(long, "feature")).collect()}
+    assert got["g"] == stats.exact_u_probability(21.0, 6, 6) and 0.9 < got["f"] <= 1.0
