@@ -20,6 +20,10 @@ SITES = 10
 LOG_SIZE, ERRORS = 10, 6
 
 
+#: So many line hashes, 8 bytes each, are broadcast.
+BROADCAST_LINES = 1_000_000
+
+
 def line_hash(line: Column) -> Column:
     return F.xxhash64(F.btrim(line, F.lit(" \t\r\x0b\f")))
 
@@ -28,13 +32,24 @@ def has_text(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\r\x0b\f")) != ""
 
 
+def only_lines(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``lines`` whose line is one of ``wanted`` (line, rows).
+
+    Up to BROADCAST_LINES of these go to where the lines are, so that no line, however
+    frequent, is shuffled; more are joined with frequent ones dealt over several tasks.
+    """
+    if wanted.count() <= BROADCAST_LINES:
+        return lines.join(F.broadcast(wanted.select("line")), "line", "left_semi")
+    return join_frequent(lines, wanted, ["line"], "rows", "left_semi")
+
+
 def boilerplate(lines: DataFrame, sites: int = SITES) -> DataFrame:
     """(line, rows): hashes of ``lines`` (line, site) on ``sites`` distinct sites or more, and how many rows each has."""
     margin = max(1.0, ERRORS * 1.04 / 2 ** (LOG_SIZE / 2) * sites)
     spread = lines.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(LOG_SIZE)).alias("sketch"), F.count(F.lit(1)).alias("rows")).select("line", "rows", F.hll_sketch_estimate("sketch").alias("n"))
     spread = checkpoint(spread.where(F.col("n") >= sites - margin))
     near = spread.where(F.col("n") <= sites + margin).select("line", "rows")
-    exact = join_frequent(lines, near, ["line"], "rows", "left_semi").distinct()
+    exact = only_lines(lines, near).distinct()
     exact = exact.groupBy("line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= sites).join(near, "line")
     return spread.where(F.col("n") > sites + margin).select("line", "rows").unionByName(exact.select("line", "rows"))
 
@@ -53,7 +68,7 @@ def remove_boilerplate(df: DataFrame, id_column: str = "doc_id", text: str = "te
     lines = docs.select("doc_id", "mark", "site", F.explode(split).alias("line")).where(has_text(F.col("line"))).withColumn("line", line_hash(F.col("line")))
     common = checkpoint(boilerplate(lines.select("line", "site"), sites))
     hits = lines.select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "line")
-    hits = join_frequent(hits, common, ["line"], "rows", "left_semi").distinct()
+    hits = only_lines(hits, common).distinct()
     bad = hits.groupBy("d", "m").agg(F.collect_set("line").alias("bad"))
     joined = docs.join(bad, docs["doc_id"].eqNullSafe(bad["d"]) & (docs["mark"] == bad["m"]), "left")
     kept = F.when(F.col("bad").isNull(), split).otherwise(F.filter(split, lambda x: ~(has_text(x) & F.array_contains("bad", line_hash(x)))))

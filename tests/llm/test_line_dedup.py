@@ -42,3 +42,12 @@ def test_odd_rows(spark):
 
 def test_empty_table(spark):
     assert line_dedup.remove_boilerplate(documents(spark, [])).collect() == []
+
+
+def test_more_lines_than_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", 0)
+    docs = [(i, f"common line\nline {i % 7}\nown {i}", f"s{i % 12}") for i in range(60)]
+    rows = line_dedup.remove_boilerplate(documents(spark, docs)).collect()
+    monkeypatch.undo()
+    assert sorted(map(str, rows)) == sorted(map(str, line_dedup.remove_boilerplate(documents(spark, docs)).collect()))
+    assert all(r.n_removed >= 1 for r in rows)
