@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shuffles import checkpoint, join_frequent
@@ -18,10 +18,6 @@ from .shuffles import checkpoint, join_frequent
 RANGE = 100_000
 
 
-def _animal() -> WindowSpec:
-    return Window.partitionBy("animal")
-
-
 def _with_totals(series: DataFrame, *totals: Column) -> DataFrame:
     """``series`` with ``totals`` of each series, and ``n``, its length; a long one is dealt over several tasks."""
     sums = checkpoint(series.groupBy("animal").agg(F.count(F.lit(1)).alias("n"), *totals))
@@ -105,15 +101,32 @@ def time_features(series: DataFrame, size: int, step: int) -> DataFrame:
     )
 
 
+def _with_next(points: DataFrame, name: str) -> DataFrame:
+    """``points`` (animal, pos, v) with ``name``, the struct (pos, v) of the next point of the series.
+
+    Ranges of positions are put in order each by itself; the first point of each range is then carried, over a table
+    of one row a range, to the range before that has any.
+    """
+    marked = points.withColumn("_range", F.floor(F.col("pos") / F.lit(RANGE)))
+    firsts = marked.groupBy("animal", "_range").agg(F.min_by(F.struct("pos", "v"), "pos").alias("_first"))
+    firsts = firsts.withColumn("_beyond", F.lead("_first").over(Window.partitionBy("animal").orderBy("_range"))).drop("_first")
+    found = marked.withColumn("_near", F.lead(F.struct("pos", "v")).over(Window.partitionBy("animal", "_range").orderBy("pos")))
+    joined = found.join(firsts, ["animal", "_range"])
+    return joined.withColumn(name, F.coalesce("_near", "_beyond")).drop("_near", "_beyond", "_range")
+
+
 def extrema(series: DataFrame) -> DataFrame:
-    """(animal, a, b, at, height, kind): peaks and valleys as runs a..b of equal values between lower (higher) neighbours, at their middle."""
-    order = _animal().orderBy("pos")
-    starts = series.withColumn("new", F.coalesce((F.col("v") != F.lag("v").over(order)).cast("long"), F.lit(1)))
-    runs = starts.withColumn("run", F.sum("new").over(order)).groupBy("animal", "run").agg(F.min("pos").alias("a"), F.max("pos").alias("b"), F.first("v").alias("height"))
-    by_run = _animal().orderBy("run")
-    left, right = F.lag("height").over(by_run), F.lead("height").over(by_run)
-    kind = F.when((left < F.col("height")) & (right < F.col("height")), "peak").when((left > F.col("height")) & (right > F.col("height")), "valley")
-    return runs.withColumn("kind", kind).where("kind IS NOT NULL").select("animal", "a", "b", F.floor((F.col("a") + F.col("b")) / F.lit(2)).alias("at"), "height", "kind")
+    """(animal, a, b, at, height, kind): peaks and valleys as runs a..b of equal values between lower (higher) neighbours, at their middle.
+
+    A run starts where a value differs from the one before; its end and its neighbours' heights are those of the starts
+    around it, found in ranges of positions. The last run of a series has nothing after it and is no peak.
+    """
+    starts = with_previous(series.select("animal", "pos", "v")).where("before IS NULL OR v <> before").select("animal", "pos", "v", "before")
+    runs = _with_next(starts, "after").where("before IS NOT NULL AND after IS NOT NULL")
+    height, left, right = F.col("v"), F.col("before"), F.col("after.v")
+    kind = F.when((left < height) & (right < height), "peak").when((left > height) & (right > height), "valley")
+    b = F.col("after.pos") - 1
+    return runs.withColumn("kind", kind).where("kind IS NOT NULL").select("animal", F.col("pos").alias("a"), b.alias("b"), F.floor((F.col("pos") + b) / F.lit(2)).alias("at"), F.col("v").alias("height"), "kind")
 
 
 def peak_features(series: DataFrame, size: int, step: int) -> DataFrame:

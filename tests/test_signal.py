@@ -39,6 +39,19 @@ def test_peaks(spark, values, peaks):
     assert sorted(r["at"] for r in rows) == peaks
 
 
+def test_peaks_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(signal, "RANGE", 4)
+    rng = np.random.default_rng(7)
+    x = [*rng.integers(0, 3, 60), *[5] * 15, 1, 2]  # runs longer than a range, and ranges without a start
+    got = {(r.a, r.b, r.height, r.kind) for r in signal.extrema(series(spark, x)).collect()}
+    edges = [i for i in range(len(x)) if i == 0 or x[i] != x[i - 1]]
+    want = set()
+    for before, at, after in zip(edges, edges[1:], edges[2:]):
+        if (x[before] < x[at]) == (x[after] < x[at]):
+            want.add((at, after - 1, float(x[at]), "peak" if x[before] < x[at] else "valley"))
+    assert got == want and any(b - a > 8 for a, b, _, _ in got)
+
+
 def test_features_against_numpy(spark):
     rng = np.random.default_rng(3)
     x = np.round(rng.normal(size=100), 1)
