@@ -7,7 +7,7 @@ window of the other. Block hashes are the index; all rolling windows of block
 length probe it. A block that nothing but itself hits is no anchor.
 
 Anchors are extended to windows of full length: those whose blocks are all
-anchors are compared by their own hashes, and every occurrence but the first is
+anchors are compared by their own hashes of 96 bits, and every occurrence but the first is
 repeated. Neighbouring repeated windows join into maximal repeated spans.
 
 Documents are dealt into chunks by id. A chunk sends sorted arrays of distinct
@@ -123,31 +123,32 @@ def _candidates(chunk: _Chunk, anchors: list[bytes], window: int, block: int) ->
 
 
 def _occurrences(chunk: _Chunk, anchors: list[bytes], window: int, block: int, count: int, number: int) -> Iterator[tuple]:
-    """Rows (part, chunk, window hashes, their first positions here, null ids, ids): each distinct window once, at its first place."""
+    """Rows (part, chunk, window hashes, more bits of these, their first positions here, null ids, ids): each distinct window once, at its first place."""
     h, at = _candidates(chunk, anchors, window, block)
     h, first = np.unique(h, return_index=True)
     at = at[first]
+    checks = chunk.words.checks(window, at)
     row = np.searchsorted(chunk.words.offsets, at, "right") - 1
     null = np.array([x is None for x in chunk.ids], bool)[row] if len(row) else np.zeros(0, bool)
     ids = np.array([0 if x is None else x for x in chunk.ids], np.int64)[row] if len(row) else np.zeros(0, np.int64)
     for p, s in _by_part(_parts(h, count), count):
-        yield p, number, h[s].tobytes(), at[s].astype(np.uint32).tobytes(), np.packbits(null[s]).tobytes(), ids[s].tobytes()
+        yield p, number, h[s].tobytes(), checks[s].tobytes(), at[s].astype(np.uint32).tobytes(), np.packbits(null[s]).tobytes(), ids[s].tobytes()
 
 
 def _later(group: pa.Table) -> Iterator[tuple[int, bytes]]:
     """Rows (chunk, first positions there of windows that start earlier in another chunk)."""
-    raw = {c: group.column(c).to_pylist() for c in ("chunk", "windows", "at", "nulls", "ids")}
+    raw = {c: group.column(c).to_pylist() for c in ("chunk", "windows", "checks", "at", "nulls", "ids")}
     h = [np.frombuffer(x, np.uint64) for x in raw["windows"]]
     if not h:
         return
     owner = np.repeat(np.arange(len(h)), [len(x) for x in h])
-    h, at = np.concatenate(h), np.concatenate([np.frombuffer(x, np.uint32) for x in raw["at"]])
+    h, check, at = np.concatenate(h), *(np.concatenate([np.frombuffer(x, np.uint32) for x in raw[c]]) for c in ("checks", "at"))
     ids = np.concatenate([np.frombuffer(x, np.int64) for x in raw["ids"]])
     null = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(i) // 8) for x, i in zip(raw["nulls"], raw["ids"])])
     # equal ids are in one chunk, so an id decides between chunks
-    order = np.lexsort((ids, null, h))
+    order = np.lexsort((ids, null, check, h))
     late = np.zeros(len(h), bool)
-    late[order[1:]] = h[order[1:]] == h[order[:-1]]
+    late[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (check[order[1:]] == check[order[:-1]])
     at, owner = at[late], owner[late]
     for i in np.unique(owner):
         yield raw["chunk"][i], at[owner == i].tobytes()
@@ -197,7 +198,7 @@ def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text",
 
     binary, i32, i64 = pa.binary(), pa.int32(), pa.int64()
     probe_names, probe_types = ["part", "chunk", "blocks", "at", "twice", "others"], [i64, i64, binary, binary, binary, binary]
-    window_names, window_types = ["part", "chunk", "windows", "at", "nulls", "ids"], [i64, i64, binary, binary, binary, binary]
+    window_names, window_types = ["part", "chunk", "windows", "checks", "at", "nulls", "ids"], [i64, i64, binary, binary, binary, binary, binary]
     hit_names, hit_types = ["chunk", "at"], [i64, binary]
 
     def probe(group: pa.Table) -> pa.Table:
@@ -233,7 +234,7 @@ def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text",
 
     blocks = dealt.groupBy("chunk").applyInArrow(probe, "part long, chunk long, blocks binary, at binary, twice binary, others binary")
     anchors = blocks.groupBy("part").applyInArrow(hit, "chunk long, at binary")
-    windows = dealt.groupBy("chunk").cogroup(anchors.groupBy("chunk")).applyInArrow(extend, "part long, chunk long, windows binary, at binary, nulls binary, ids binary")
+    windows = dealt.groupBy("chunk").cogroup(anchors.groupBy("chunk")).applyInArrow(extend, "part long, chunk long, windows binary, checks binary, at binary, nulls binary, ids binary")
     repeats = windows.groupBy("part").applyInArrow(later, "chunk long, at binary")
     found = anchors.withColumn("kind", F.lit(0)).unionByName(repeats.withColumn("kind", F.lit(1)))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start: long, words: long>>" + ", kept string" * texts

@@ -24,6 +24,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
 _Q = 0xD6E8FEB86659FD93
+_OTHER = 0xA24BAED4963EE407
 
 
 def is_separator(data: np.ndarray) -> np.ndarray:
@@ -158,5 +159,9 @@ class Words:
         at = np.flatnonzero(row[: len(h)] == row[size - 1 :]) if len(h) else np.zeros(0, np.int64)
         return h[at], at
 
+    def checks(self, size: int, at: np.ndarray) -> np.ndarray:
+        """32 more bits of the windows that start at the words ``at``, independent of their hashes."""
+        return (window_hashes(mix(self.hashes ^ np.uint64(_OTHER)), size)[at] >> np.uint64(32)).astype(np.uint32)
+
     def text(self, row: int) -> bytes:
         return self.data[self.byte_offsets[row] : self.byte_offsets[row + 1]].tobytes()

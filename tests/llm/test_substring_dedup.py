@@ -52,6 +52,18 @@ def test_random_repeats_over_many_chunks(spark, monkeypatch):
     assert all(hashlib.sha256(r.kept.encode()).hexdigest() == r.kept_sha256 and sum(s.words for s in r.spans) == r.n_removed for r in rows)
 
 
+def test_windows_with_one_hash_and_other_words_differ():
+    import numpy as np
+    import pyarrow as pa
+
+    def row(chunk, hashes, checks, ids):
+        h, c = np.array(hashes, np.uint64), np.array(checks, np.uint32)
+        return {"chunk": chunk, "windows": h.tobytes(), "checks": c.tobytes(), "at": np.arange(len(h), dtype=np.uint32).tobytes(), "nulls": np.packbits(np.zeros(len(h), bool)).tobytes(), "ids": np.array(ids, np.int64).tobytes()}
+
+    group = pa.Table.from_pylist([row(0, [5, 9], [1, 1], [10, 10]), row(1, [5, 9], [2, 1], [20, 20])])
+    assert [(c, list(np.frombuffer(at, np.uint32))) for c, at in substring_dedup._later(group)] == [(1, [1])]
+
+
 @pytest.mark.parametrize("window,block", [(3, 2), (5, 2), (20, 10), (20, 7)])
 def test_small_windows(spark, window, block):
     rng = random.Random(window)
