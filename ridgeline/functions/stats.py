@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.shuffles import checkpoint, join_frequent
+
 #: The 0.975 quantile of the normal distribution (a fixed value).
 Z_975 = 1.959963984540054
 
@@ -19,6 +21,30 @@ def mid_rank(value: Column | str, *by: str) -> Column:
     return F.rank().over(groups.orderBy(value)) + (F.count(F.lit(1)).over(ties) - 1) / F.lit(2.0)
 
 
+#: Share of ranks on each side of the middle that a sketch leaves for exact counting, and the sketch's accuracy (error 1 / accuracy).
+MIDDLE, ACCURACY = 0.001, 10_000
+
+
+def medians(df: DataFrame, values: Sequence[str], *by: str) -> DataFrame:
+    """(by, n, and the exact median of each of ``values``), without holding or sorting a group: nulls don't count.
+
+    A mergeable sketch brackets the middle of each group; values are then counted, all below the bracket together
+    and one by one inside, which is some thousandth of a group. ``by`` names at least one column without nulls.
+    """
+    stacked = df.select(*by, F.posexplode(F.array(*[F.col(v).cast("double") for v in values])).alias("_which", "_v")).where("_v IS NOT NULL")
+    keys = [*by, "_which"]
+    marks = stacked.groupBy(*keys).agg(F.percentile_approx("_v", [0.5 - MIDDLE, 0.5 + MIDDLE], ACCURACY).alias("_b"), F.count(F.lit(1)).alias("_n"))
+    marks = checkpoint(marks.select(*keys, F.col("_b")[0].alias("_low"), F.col("_b")[1].alias("_high"), "_n"))
+    near = join_frequent(stacked, marks, keys, "_n").where(F.col("_v") <= F.col("_high")).withColumn("_v", F.when(F.col("_v") >= F.col("_low"), F.col("_v")))
+    counted = near.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
+    order = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, 0)
+    upto = counted.withColumn("_upto", F.sum("_c").over(order)).where("_v IS NOT NULL")
+    first, second = (F.min(F.when(F.col("_upto") >= F.floor((F.col("_n") + d) / F.lit(2)), F.col("_v"))) for d in (1, 2))
+    found = upto.groupBy(*keys).agg(((first + second) / 2).alias("_m"))
+    wide = found.groupBy(*by).agg(*[F.max(F.when(F.col("_which") == i, F.col("_m"))).alias(f"median_{v}") for i, v in enumerate(values)])
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).join(wide, list(by), "left")
+
+
 def signif(x: Column, digits: int = 3) -> Column:
     """``x`` rounded to significant digits, half to even; 0 stays 0."""
     scale = F.pow(F.lit(10.0), F.lit(digits - 1) - F.floor(F.log10(F.abs(x))))

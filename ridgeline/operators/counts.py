@@ -10,7 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import bonferroni, normal_tail
+from ..functions.stats import bonferroni, medians, normal_tail
+from .shuffles import checkpoint
 
 BEAD = ("sample", "bead")
 
@@ -34,10 +35,10 @@ def quality(counts: DataFrame, marked: DataFrame, genes_listed: DataFrame) -> Da
     flagged = counts.join(marked.select("gene", F.lit(True).alias("marked")), "gene", "left")
     beads = flagged.groupBy(*BEAD).agg(F.sum("n").alias("umi"), F.countDistinct(F.when(F.col("n") > 0, F.col("gene"))).alias("genes"), F.coalesce(F.sum(F.when(F.col("marked"), F.col("n"))), F.lit(0)).alias("mt"))
     beads = beads.where("umi > 0").withColumn("pct", 100.0 * F.col("mt") / F.col("umi"))
-    table = beads.groupBy("sample").agg(
-        F.count(F.lit(1)).alias("beads_retained"), F.percentile("umi", F.lit(0.5)).alias("median_umi"), F.percentile("genes", F.lit(0.5)).alias("median_genes"),
-        F.percentile("pct", F.lit(0.5)).alias("median_percent_mt"), F.avg("pct").alias("mean_percent_mt"), F.sum("umi").alias("total_umi"),
-    )
+    beads = checkpoint(beads)
+    table = beads.groupBy("sample").agg(F.avg("pct").alias("mean_percent_mt"), F.sum("umi").alias("total_umi"))
+    middle = medians(beads, ["umi", "genes", "pct"], "sample").withColumnsRenamed({"n": "beads_retained", "median_pct": "median_percent_mt"})
+    table = middle.join(table, "sample")
     return table.join(genes_listed.groupBy("sample").agg(F.count(F.lit(1)).alias("genes_detected")), "sample", "left")
 
 

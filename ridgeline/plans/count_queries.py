@@ -69,7 +69,7 @@ def id_split(spark, sf):
 
 
 def median_by_group(spark, sf):
-    return rounded(recoded(spark, sf).groupBy("category").agg(F.percentile("p_size", F.lit(0.5)).alias("median_size"), F.percentile("p_retailprice", F.lit(0.5)).alias("median_price"), F.count(F.lit(1)).alias("n")))
+    return rounded(stats.medians(recoded(spark, sf), ["p_size", "p_retailprice"], "category").withColumnsRenamed({"median_p_size": "median_size", "median_p_retailprice": "median_price"}))
 
 
 def bead_counts(spark, sf):

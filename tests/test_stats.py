@@ -22,6 +22,18 @@ def test_auc_with_ties(spark):
     assert stats.auc(df.where("y = 1"), "y", "p").first()["auc"] is None
 
 
+def test_medians_of_groups_of_all_sizes(spark):
+    rng = np.random.default_rng(0)
+    groups = {**{g: rng.normal(size=g) for g in (1, 2, 3, 4, 9, 10, 1000, 1001, 6001, 20000)}, 30: np.ones(30), 3000: np.repeat([1.0, 5.0], 1500)}
+    df = spark.createDataFrame([(g, float(v), i) for g, x in groups.items() for i, v in enumerate(x)], "g long, v double, w long").repartition(4)
+    got = {r.g: (r.n, r.median_v, r.median_w) for r in stats.medians(df, ["v", "w"], "g").collect()}
+    assert set(got) == set(groups)
+    for g, x in groups.items():
+        assert got[g] == (len(x), pytest.approx(np.median(x), abs=1e-12), (len(x) - 1) / 2)
+    nulls = spark.createDataFrame([("a", None), ("b", 1.0), ("b", None)], "g string, v double")
+    assert {r.g: (r.n, r.median_v) for r in stats.medians(nulls, ["v"], "g").collect()} == {"a": (1, None), "b": (2, 1.0)}
+
+
 def test_mann_whitney_exact(spark):
     df = spark.createDataFrame([(1, 3.0), (1, 4.0), (0, 1.0), (0, 2.0)], "label int, value double").withColumn("feature", F.lit("f"))
     row = stats.mann_whitney_p(stats.mann_whitney(df, "feature")).first()
