@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, licenses, line_dedup, mixing, near_dedup, packing, quality_rules, secrets, substring_dedup, toxicity
+from . import exact_dedup, licenses, line_dedup, mixing, near_dedup, packing, prefix_trie, quality_rules, secrets, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licenses.op1,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": quality_rules.op8,
     "op9_exact_dedup": exact_dedup.op9,
     "op10_secret_scan": secrets.op10,
+    "op11_prefix_trie": prefix_trie.op11,
 }
 
 ORACLES: dict[str, str] = {
@@ -26,4 +27,5 @@ ORACLES: dict[str, str] = {
     "op4_line_dedup": line_dedup.ORACLE_SQL,
     "op7_mixing": mixing.ORACLE_SQL,
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op11_prefix_trie": prefix_trie.ORACLE_SQL,
 }
