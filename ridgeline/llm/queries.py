@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, licenses, line_dedup, mixing, near_dedup, packing, prefix_trie, quality_rules, secrets, substring_dedup, toxicity
+from . import exact_dedup, licenses, line_dedup, mixing, near_dedup, packing, prefix_trie, quality_rules, secrets, structure_repair, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licenses.op1,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": exact_dedup.op9,
     "op10_secret_scan": secrets.op10,
     "op11_prefix_trie": prefix_trie.op11,
+    "op12_structure_repair": structure_repair.op12,
 }
 
 ORACLES: dict[str, str] = {
@@ -28,4 +29,5 @@ ORACLES: dict[str, str] = {
     "op7_mixing": mixing.ORACLE_SQL,
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,
     "op11_prefix_trie": prefix_trie.ORACLE_SQL,
+    "op12_structure_repair": structure_repair.ORACLE_SQL,
 }
