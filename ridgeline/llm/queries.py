@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, licenses, line_dedup, mixing, near_dedup, packing, prefix_trie, quality_rules, secrets, structure_repair, substring_dedup, toxicity
+from . import exact_dedup, fingerprints, licenses, line_dedup, mixing, near_dedup, packing, prefix_trie, quality_rules, secrets, structure_repair, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licenses.op1,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_scan": secrets.op10,
     "op11_prefix_trie": prefix_trie.op11,
     "op12_structure_repair": structure_repair.op12,
+    "op13_edit_fingerprint": fingerprints.op13,
 }
 
 ORACLES: dict[str, str] = {
