@@ -120,7 +120,7 @@ BREAK = r"([.!?;:])[\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*\n"
 CUT = "\x01"
 
 #: Pieces that are no sentence: a list marker (a bare number or a single letter) or no letter or digit at all.
-MARKER = r"^[^\p{L}\p{N}]*([0-9]+|[A-Za-z])?[^\p{L}\p{N}]*$"
+MARKER = r"^[^\p{L}\p{N}]*+(?:[0-9]++|[A-Za-z])?+[^\p{L}\p{N}]*+$"
 
 
 def pieces_of(sentence: str) -> list[str]:

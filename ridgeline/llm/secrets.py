@@ -40,7 +40,8 @@ PATTERNS = (
     re.compile(rb"[0-9a-f]+(?<=[0-9a-f]{24})"),
     re.compile(rb"""(?:client|account|tenant|user|key)_?(?:id|name)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@+/_.-]{4,})""", _ASCII),
     re.compile(rb"[A-Za-z0-9+/_=-]{20,}"),
-    re.compile(rb"""https?://[^\x00-\x20"'<>\x7f-\xff]+|(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}:[0-9]{2,5}"""),
+    # a host begins at the first of its labels, so that each run of labels is read once
+    re.compile(rb"""https?://[^\x00-\x20"'<>\x7f-\xff]+|(?<![A-Za-z0-9-])(?<![A-Za-z0-9-]\.)(?:[A-Za-z0-9-]++\.)++[A-Za-z]{2,}:[0-9]{2,5}"""),
 )
 NEEDED = (
     r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]""",

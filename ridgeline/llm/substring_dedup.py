@@ -7,8 +7,8 @@ window of the other. Block hashes are the index; all rolling windows of block
 length probe it. A block that nothing but itself hits is no anchor.
 
 Anchors are extended to windows of full length: those whose blocks are all
-anchors are compared by their own hashes of 96 bits, and every occurrence but the first is
-repeated. Neighbouring repeated windows join into maximal repeated spans.
+anchors are compared by two independent hashes of 64 bits, inside a chunk and between
+chunks, and every occurrence but the first is repeated. Neighbouring repeated windows join into maximal repeated spans.
 
 Documents are dealt into chunks by id. A chunk sends sorted arrays of distinct
 hashes to hash partitions, a few rows in all, and gets back what was hit, so a
@@ -38,13 +38,13 @@ PART_BYTES = 32_000_000
 
 
 class _Chunk:
-    """The documents of one chunk in order of id (null last), then text."""
+    """The documents of one chunk in order of id (rows without one last, by digest), then text."""
 
     def __init__(self, rows: pa.Table):
-        ids, texts = rows.column("doc_id").to_pylist(), rows.column("text").combine_chunks()
+        ids, places, texts = rows.column("doc_id").to_pylist(), rows.column("place").to_pylist(), rows.column("text").combine_chunks()
         raw = texts.to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] if ids[i] is not None else 0, raw[i] or ""))
-        self.ids = [ids[i] for i in order]
+        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, places[i], raw[i]))
+        self.ids, self.places = [ids[i] for i in order], [places[i] for i in order]
         self.words = words.Words(texts.take(pa.array(order, pa.int64())) if order else texts)
 
     def starts(self, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,8 +106,8 @@ def _hit(group: pa.Table) -> Iterator[tuple[int, bytes]]:
                 yield raw["chunk"][i], np.frombuffer(raw["at"][i], np.uint32)[hit].tobytes()
 
 
-def _candidates(chunk: _Chunk, anchors: list[bytes], window: int, block: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and first words of the windows whose blocks are all anchors."""
+def _candidates(chunk: _Chunk, anchors: list[bytes], window: int, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes and first words of the windows whose blocks are all anchors, sorted by these, and which of them are the first of their kind."""
     h, at = chunk.starts(window)
     anchored = np.zeros(int(chunk.words.offsets[-1]) + 1, bool)
     for x in anchors:
@@ -119,18 +119,22 @@ def _candidates(chunk: _Chunk, anchors: list[bytes], window: int, block: int) ->
     for k in range(0, window - block + 1, block):
         start = first + k
         keep &= (start + block > at + window) | anchored[np.minimum(start, len(anchored) - 1)]
-    return h[keep], at[keep]
+    h, at = h[keep], at[keep]
+    check = chunk.words.checks(window, at) if len(at) else np.zeros(0, np.uint64)
+    order = np.lexsort((check, h))  # stable, so places stay in order
+    h, check, at = h[order], check[order], at[order]
+    first = np.ones(len(h), bool)
+    first[1:] = (h[1:] != h[:-1]) | (check[1:] != check[:-1])
+    return h, check, at, first
 
 
 def _occurrences(chunk: _Chunk, anchors: list[bytes], window: int, block: int, count: int, number: int) -> Iterator[tuple]:
-    """Rows (part, chunk, window hashes, more bits of these, their first positions here, null ids, ids): each distinct window once, at its first place."""
-    h, at = _candidates(chunk, anchors, window, block)
-    h, first = np.unique(h, return_index=True)
-    at = at[first]
-    checks = chunk.words.checks(window, at)
+    """Rows (part, chunk, window hashes, other hashes, their first positions here, null ids, places of ids): each distinct window once, at its first place."""
+    h, checks, at, first = _candidates(chunk, anchors, window, block)
+    h, checks, at = h[first], checks[first], at[first]
     row = np.searchsorted(chunk.words.offsets, at, "right") - 1
     null = np.array([x is None for x in chunk.ids], bool)[row] if len(row) else np.zeros(0, bool)
-    ids = np.array([0 if x is None else x for x in chunk.ids], np.int64)[row] if len(row) else np.zeros(0, np.int64)
+    ids = np.array(chunk.places, np.int64)[row] if len(row) else np.zeros(0, np.int64)
     for p, s in _by_part(_parts(h, count), count):
         yield p, number, h[s].tobytes(), checks[s].tobytes(), at[s].astype(np.uint32).tobytes(), np.packbits(null[s]).tobytes(), ids[s].tobytes()
 
@@ -142,10 +146,10 @@ def _later(group: pa.Table) -> Iterator[tuple[int, bytes]]:
     if not h:
         return
     owner = np.repeat(np.arange(len(h)), [len(x) for x in h])
-    h, check, at = np.concatenate(h), *(np.concatenate([np.frombuffer(x, np.uint32) for x in raw[c]]) for c in ("checks", "at"))
+    h, check, at = np.concatenate(h), *(np.concatenate([np.frombuffer(x, kind) for x in raw[c]]) for c, kind in (("checks", np.uint64), ("at", np.uint32)))
     ids = np.concatenate([np.frombuffer(x, np.int64) for x in raw["ids"]])
     null = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(i) // 8) for x, i in zip(raw["nulls"], raw["ids"])])
-    # equal ids are in one chunk, so an id decides between chunks
+    # equal ids, and equal digests of rows without one, are in one chunk, so they decide between chunks
     order = np.lexsort((ids, null, check, h))
     late = np.zeros(len(h), bool)
     late[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (check[order[1:]] == check[order[:-1]])
@@ -156,9 +160,8 @@ def _later(group: pa.Table) -> Iterator[tuple[int, bytes]]:
 
 def _covered(chunk: _Chunk, anchors: list[bytes], late: list[bytes], window: int, block: int) -> np.ndarray:
     """Which words of the chunk a repeated window covers."""
-    h, at = _candidates(chunk, anchors, window, block)
+    _, _, at, first = _candidates(chunk, anchors, window, block)
     total = int(chunk.words.offsets[-1])
-    _, first = np.unique(h, return_index=True)
     repeated = np.zeros(total + 1, bool)
     repeated[at] = True
     repeated[at[first]] = False  # earliest here ...
@@ -181,8 +184,9 @@ def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text",
 
     Removed is every word covered by a window of ``window`` words whose sequence
     also starts earlier: in a smaller id, or earlier in the same document. ``spans``
-    are the maximal removed stretches as (first word, words). Rows that share an id
-    come in order of their text; a null id comes after all others. A null text has
+    are the maximal removed stretches as (first word, words). Ids are whole numbers
+    (a string that is none raises). Rows that share an id come in order of their text;
+    rows without one come after all others, in order of the text's xxhash64. A null text has
     no words, and a document of fewer than ``window`` words loses none. Other columns
     are ignored. An empty table gives no rows.
     """
@@ -190,11 +194,12 @@ def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text",
         raise ValueError("a window must hold a whole block wherever it lies")
     spark = df.sparkSession
     docs = df.select(column(df, id_column).cast("long").alias("doc_id"), text_column(df, text).alias("text"))
+    docs = docs.withColumn("place", F.coalesce("doc_id", F.xxhash64("text")))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = partitions(spark)
     chunks, count = max(tasks, -(-size // CHUNK_BYTES)), max(tasks, -(-size // PART_BYTES))
     # the exchange below is the same in all three passes, so it runs once
-    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks))).repartition(min(chunks, 4 * max(tasks, count)), "chunk")
+    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("place"), F.lit(chunks))).repartition(min(chunks, 4 * max(tasks, count)), "chunk")
 
     binary, i32, i64 = pa.binary(), pa.int32(), pa.int64()
     probe_names, probe_types = ["part", "chunk", "blocks", "at", "twice", "others"], [i64, i64, binary, binary, binary, binary]

@@ -20,11 +20,11 @@ SEPARATORS = bytes([0x20, *range(0x09, 0x0E)])
 _IS_SEPARATOR = np.zeros(256, dtype=bool)
 _IS_SEPARATOR[list(SEPARATORS)] = True
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
-_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
 _Q = 0xD6E8FEB86659FD93
-_OTHER = 0xA24BAED4963EE407
+
+#: Two families of constants, for two independent sums of 64 bits: seed of places, and two factors.
+_FAMILIES = ((0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB), (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93 ^ 0x5851F42D4C957F2C | 1))
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
 
 
 def is_separator(data: np.ndarray) -> np.ndarray:
@@ -41,16 +41,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of the base and of its inverse modulo 2**64."""
-    tables = []
-    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-        table = np.full(n, base, dtype=np.uint64)
-        table[0] = 1
-        tables.append(np.multiply.accumulate(table))
-    return tables[0], tables[1]
-
-
 def column_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and the n + 1 offsets of its rows."""
     if isinstance(texts, pa.ChunkedArray):
@@ -85,34 +75,80 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span; spans are in order and don't overlap."""
+def _sums(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int) -> np.ndarray:
+    """A sum over the 8-byte pieces of each span, each mixed with its place; ``data`` has 8 more bytes than the spans need."""
+    seed, one, two = map(np.uint64, _FAMILIES[family])
+    length = ends - starts
+    many = (length + 7) >> 3
+    single = int(many.max(initial=1)) <= 1
+    # 8 bytes from every position on; what is beyond a span's end is masked
+    eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    if single:
+        v = eight[starts]
+        v &= _MASKS[length]
+        v ^= mix(np.array([seed]))[0]
+    else:
+        many = np.maximum(many, 1)
+        first = np.cumsum(many) - many
+        place = np.arange(int(many.sum())) - np.repeat(first, many)
+        v = eight[np.repeat(starts, many) + (place << 3)]
+        v &= _MASKS[np.minimum(np.repeat(length, many) - (place << 3), 8)]
+        v ^= mix(seed * (place.astype(np.uint64) + np.uint64(1)))
+    v *= one
+    v ^= v >> np.uint64(32)
+    v *= two
+    v ^= v >> np.uint64(29)
+    h = v if single else np.add.reduceat(v, first)
+    h += length.astype(np.uint64) * np.uint64(_Q)
+    return mix(h)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span (spans are in order); the two families are independent of each other."""
     out = np.empty(len(starts), np.uint64)
     i, n = 0, len(starts)
-    power, inverse = _powers(max(1, min(SEGMENT, len(data))))
     while i < n:
         low = int(starts[i])
         j = max(i + 1, int(np.searchsorted(ends, low + SEGMENT, "right")))
         part = data[low : int(ends[j - 1])]
-        if len(part) > len(power):  # one very long span
-            power, inverse = _powers(len(part))
-        sums = _BYTE[part]
-        sums *= power[: len(part)]
-        np.cumsum(sums, out=sums)
-        s, e = starts[i:j] - low, ends[i:j] - low
-        h = sums[e - 1]
-        h[s > 0] -= sums[s[s > 0] - 1]
-        h *= inverse[s]
-        h += (e - s).astype(np.uint64) * np.uint64(_Q)
-        out[i:j] = h
+        part = np.concatenate([part, np.zeros(8, np.uint8)])
+        out[i:j] = _sums(part, starts[i:j] - low, ends[i:j] - low, family)
         i = j
-    return mix(out)
+    return out
+
+
+def same_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> bool:
+    """Whether each span has the same bytes as the span ``other`` of it."""
+    length = ends - starts
+    if not np.array_equal(length, length[other]):
+        return False
+    data = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    at, to, left = starts, starts[other], length
+    while len(at):
+        differ = eight[at] ^ eight[to]
+        differ &= _MASKS[np.minimum(left, 8)]
+        if differ.any():
+            return False
+        more = np.flatnonzero((left > 8) & (at != to))
+        if len(more) < 32 and len(more):  # few long spans
+            return all(np.array_equal(data[a : a + n], data[b : b + n]) for a, b, n in zip(at[more], to[more], left[more]))
+        at, to, left = at[more] + 8, to[more] + 8, left[more] - 8
+    return True
 
 
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """Hashes of all windows of ``size`` words in a sequence of word hashes."""
     if len(words) < size:
         return np.zeros(0, np.uint64)
+
+    def joined(left: np.ndarray, right: np.ndarray, width: int) -> np.ndarray:
+        # the shift makes it no polynomial, under which long regular sequences would collide
+        out = left * np.uint64(pow(_Q, width, 1 << 64))
+        out += right
+        out ^= out >> np.uint64(31)
+        return out
+
     made, covered, width, part = None, 0, 1, words
     while True:  # by powers of two: log2(size) passes over the words
         if size & width:
@@ -120,12 +156,12 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
                 made, covered = part, width
             else:
                 n = len(words) - covered - width + 1
-                made = made[:n] * np.uint64(pow(_Q, width, 1 << 64)) + part[covered : covered + n]
+                made = joined(made[:n], part[covered : covered + n], width)
                 covered += width
         if covered == size:
             return mix(made[: len(words) - size + 1].copy())
         n = len(words) - 2 * width + 1
-        part = part[:n] * np.uint64(pow(_Q, width, 1 << 64)) + part[width : width + n]
+        part = joined(part[:n], part[width : width + n], width)
         width *= 2
 
 
@@ -159,9 +195,14 @@ class Words:
         at = np.flatnonzero(row[: len(h)] == row[size - 1 :]) if len(h) else np.zeros(0, np.int64)
         return h[at], at
 
+    @functools.cached_property
+    def others(self) -> np.ndarray:
+        """64 more bits of each word, independent of its hash."""
+        return span_hashes(self.data, self.starts, self.ends, 1)
+
     def checks(self, size: int, at: np.ndarray) -> np.ndarray:
-        """32 more bits of the windows that start at the words ``at``, independent of their hashes."""
-        return (window_hashes(mix(self.hashes ^ np.uint64(_OTHER)), size)[at] >> np.uint64(32)).astype(np.uint32)
+        """64 more bits of the windows that start at the words ``at``, independent of their hashes."""
+        return window_hashes(self.others, size)[at]
 
     def text(self, row: int) -> bytes:
         return self.data[self.byte_offsets[row] : self.byte_offsets[row + 1]].tobytes()

@@ -5,6 +5,8 @@ belongs to a word), so the ids of a text are those of its units in order: words
 with their space, and what is left of each run of white space. Units repeat, so
 a bounded cache of units saves most of the encoding. Texts with white space
 outside ASCII or with an added token's string are encoded whole, by tokenizers.
+Units are looked up by hash, and their bytes are compared on every hit; texts whose
+units collide are encoded whole too.
 New units are encoded by tiktoken with the ranks of the same file, which gives
 the same ids in a third of the time, where the file's merges are in order of id;
 else by tokenizers too.
@@ -22,8 +24,8 @@ import pyarrow as pa
 
 from . import text as words
 
-#: Units and ids in a task's cache, about 25 MB; when full it is emptied.
-CACHE_UNITS, CACHE_IDS = 400_000, 2_000_000
+#: Units, ids and bytes of units in a task's cache, about 45 MB; when full it is emptied.
+CACHE_UNITS, CACHE_IDS, CACHE_BYTES = 400_000, 2_000_000, 8_000_000
 
 #: White space outside ASCII (fixed values, as UTF-8).
 _OTHER_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
@@ -99,6 +101,7 @@ class Encoder:
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 1
         self.ids[0] = self.end
         self.at = np.array([0, 1], np.int64)  # unit 0 is the end of a text
+        self.units, self.bytes = [b""], 0
 
     def unit_ids(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the units, one after the other, and each unit's number of ids."""
@@ -126,13 +129,20 @@ class Encoder:
         first = len(self.at) - 1
         self.at = np.concatenate([self.at, self.used + np.cumsum(lengths)])
         self.used = need
+        self.units += units
+        self.bytes += sum(map(len, units))
         order = np.argsort(keys)
         keys, index = np.concatenate([self.keys, keys[order]]), np.concatenate([self.index, first + order])
         order = np.argsort(keys, kind="stable")  # two sorted runs
         self.keys, self.index = keys[order], index[order]
 
+    def encode_whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As :meth:`encode`, by tokenizers and without the cache."""
+        found = [[*self.tokenizer.encode(x or "", add_special_tokens=False).ids, self.end] for x in texts.to_pylist()]
+        return np.fromiter((x for y in found for x in y), np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.keys) > CACHE_UNITS or self.used > CACHE_IDS:
+        if len(self.keys) > CACHE_UNITS or self.used > CACHE_IDS or self.bytes > CACHE_BYTES:
             self.clear()
         data, offsets = words.column_bytes(texts)
         raw = data.tobytes()
@@ -147,10 +157,15 @@ class Encoder:
             hashes = words.span_hashes(data, starts, ends)
             code, keys = pd.factorize(hashes)
             first = np.flatnonzero(np.diff(np.maximum.accumulate(code), prepend=-1))
+            if not words.same_spans(data, starts, ends, first[code]):
+                return self.encode_whole(texts)
             order = np.argsort(keys)
             keys, first = keys[order], first[order]
             near = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
             new = self.keys[near] != keys if len(self.keys) else np.ones(len(keys), bool)
+            known = np.flatnonzero(~new)
+            if any(self.units[i] != raw[a:b] for i, a, b in zip(self.index[near[known]].tolist(), starts[first[known]].tolist(), ends[first[known]].tolist())):
+                return self.encode_whole(texts)
             if new.any():
                 at = first[new]
                 plain = ~words.is_separator(data[ends[at] - 1])

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from helpers import ODD, SF, documents
+from test_substring_dedup import twins
 from tokenizers import Tokenizer
 
 from ridgeline.llm import packing, tokens
@@ -91,3 +92,37 @@ def test_units_encode_as_whole_texts():
     ids, at = e.encode(pa.array(texts))
     for i, t in enumerate(texts):
         assert ids[at[i] : at[i + 1]].tolist() == e.tokenizer.encode(t or "", add_special_tokens=False).ids + [1], t
+
+
+def test_words_that_polynomials_confuse(spark):
+    docs = [(i, f"before {w} after", "s") for i, w in enumerate(twins())]
+    check(packing.pack(documents(spark, docs), packing.default_tokenizer()).collect(), docs)
+
+
+@pytest.mark.parametrize("how", ["batch", "cache"])
+def test_units_that_collide_are_encoded_whole(monkeypatch, how):
+    import pyarrow as pa
+
+    monkeypatch.setattr(tokens.words, "span_hashes", lambda data, starts, ends: np.zeros(len(starts), np.uint64) + np.uint64(7))
+    encoder, tok = tokens.Encoder(packing.default_tokenizer(), 1), Tokenizer.from_file(packing.default_tokenizer())
+    batches = [["one two two", None, ""]] if how == "batch" else [["one"], ["two"], ["one"]]
+    for texts in batches:
+        ids, at = encoder.encode(pa.array(texts, pa.string()))
+        for i, t in enumerate(texts):
+            assert ids[at[i] : at[i + 1]].tolist() == [*tok.encode(t or "", add_special_tokens=False).ids, 1]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_fillings_are_the_closest_ones(seed):
+    import itertools
+    import random
+
+    rng = random.Random(seed)
+    counts = {rng.randint(1, 30): rng.randint(1, 3) for _ in range(rng.randint(1, 6))}
+    room = rng.randint(1, 64)
+    goals = [room, *sorted(rng.sample(range(1, room + 1), min(room, rng.randint(0, 2))), reverse=True)]
+    sums = {sum(n * k for n, k in zip(counts, ks)) for ks in itertools.product(*[range(c + 1) for c in counts.values()])}
+    best = next((g for g in goals if g in sums), max(x for x in sums if x <= room))
+    chosen, total = packing.fill(counts, room, goals)
+    assert total == best == sum(n * k for n, k in chosen.items())
+    assert all(0 < k <= counts[n] for n, k in chosen.items())
