@@ -10,8 +10,7 @@ text, whatever its length.
 The fingerprint samples the embedding: 256 steps, each reported as four bits of the
 character there. A sample's step is the one of least random rank among all steps of
 the walk, so that texts of different length mostly sample the same steps. Bands of
-samples bring near copies into one bucket; they are verified on whole fingerprints,
-and then by their edit distance.
+samples bring near copies into one bucket, and pairs are verified on whole fingerprints.
 """
 
 from __future__ import annotations
@@ -26,7 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import column, free_name, map_batches, partitions, table, text_column, with_arrow_column
+from . import near_dedup
+from .common import checkpoint, column, free_name, map_batches, marked, partitions, table, text_column, with_arrow_column
 
 #: Samples of a fingerprint, a hexadecimal digit each.
 SAMPLES = 256
@@ -34,6 +34,9 @@ SAMPLES = 256
 #: Steps after which the walk's random bits repeat (a power of two), and classes of characters that share them.
 PERIOD, CLASSES = 4096, 256
 
+#: Likeness of near copies, and the probability that a pair at it shares a band.
+THRESHOLD, RECALL = 0.8, 0.9999
+
 #: Characters walked together, about, and texts under which they are walked one by one.
 WALKED, FEW = 4_000_000, 48
 
@@ -242,5 +245,42 @@ def with_edited(df: DataFrame, id_column: str = "doc_id", text: str = "text") ->
     return with_next(df, id_column, text, run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
+def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
+    """doc_id, mark, key (digest of the text), n, fingerprint and band hashes of (doc_id, mark, text)."""
+    walks = Walks()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            found, keys = walks.fingerprints(texts), [hashlib.blake2b(t.encode(), digest_size=16).digest() for t in texts]
+            banded = [[int.from_bytes(hashlib.blake2b(f"{b}:{f[b * rows : (b + 1) * rows]}".encode(), digest_size=8).digest(), "big", signed=True) for b in range(bands)] for f in found]
+            sizes = pa.array([SAMPLES if t else 0 for t in texts], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), sizes, pa.array(found, pa.string()), pa.array(banded, pa.list_(pa.int64()))], names=["doc_id", "mark", "key", "n", "fingerprint", "bands"])
+
+    return map_batches(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, mark binary, key binary, n int, fingerprint string, bands array<long>")
+
+
+def near_copies(df: DataFrame, id_column: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """One row per input row: doc_id, class_id, copy_of, n_links, as :func:`near_dedup.near_duplicates` has them, by likeness of fingerprints.
+
+    Equal texts are copies. Links join texts whose fingerprints have a likeness of ``threshold``
+    or more; a pair at it shares a band of samples with probability ``recall`` (for digits
+    that agree independently). Empty and null texts link to nothing; rows that share an id
+    are judged apart; other columns are ignored; an empty table gives no rows.
+    """
+    agree = threshold * 15 / 16 + 1 / 16
+    bands, rows = near_dedup.bands_for(agree, recall, SAMPLES)
+    docs = df.select(column(df, id_column).alias("doc_id"), marked(df, id_column, text).alias("mark"), text_column(df, text).alias("text"))
+    signed = checkpoint(_signed(docs, bands, rows))
+    rep = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")
+    classes = signed.where("n > 0").groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min(rep).alias("rep"), *[F.first(c).alias(c) for c in ("n", "fingerprint", "bands")])
+    classes = checkpoint(classes.withColumn("mark", F.col("rep.mark")))
+    # a sample and its digit as one element: agreement of fingerprints is similarity of sets
+    digits = F.transform(F.sequence(F.lit(1), F.lit(SAMPLES)), lambda i: i.cast("long") * 16 + F.conv(F.substring(F.col("fingerprint"), i, F.lit(1)), 16, 10).cast("long"))
+    sets = classes.select("key", digits.alias("grams"))
+    edges, labels = near_dedup.links(classes.drop("fingerprint"), lambda wanted: checkpoint(sets.join(wanted.select("key"), "key")), agree / (2 - agree))
+    return near_dedup.classified(signed, classes, edges, labels).select("doc_id", "class_id", "copy_of", "n_links")
+
+
 def op13(spark, sf_dir: str) -> DataFrame:
     return with_edited(table(spark, sf_dir, "documents"))

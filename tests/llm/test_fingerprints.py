@@ -81,3 +81,40 @@ def test_column(spark):
     df = fp.fingerprinted(documents(spark, ODD))
     assert df.columns[:-1] == documents(spark, ODD).columns
     assert all(r.fingerprint == plain(r.text or "") for r in df.collect())
+
+
+def classes(docs, threshold=0.8):
+    """By comparing all pairs of fingerprints."""
+    prints = [WALKS.fingerprints([t or ""])[0] for _, t in docs]
+    parent = list(range(len(docs)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(docs)):
+        for j in range(i):
+            if docs[i][1] and docs[j][1] and fp.likeness(prints[i], prints[j]) >= threshold - 1e-9:
+                parent[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(docs):
+        r = find(i)
+        least[r] = min((x for x in (least.get(r), d) if x is not None), default=None)
+    return sorted(((d, least[find(i)]) for i, (d, _) in enumerate(docs)), key=str)
+
+
+def test_near_copies(spark):
+    rng = random.Random(8)
+    base = ["".join(rng.choice("abcdefghij klmnop") for _ in range(rng.randrange(300, 2000))) for _ in range(25)]
+    docs = []
+    for i in range(220):
+        t = list(base[min(24, int(rng.expovariate(0.2)))])
+        for _ in range(rng.choice([0, 0, 1, 2, 3, 8, 60])):
+            t[rng.randrange(len(t))] = rng.choice(["", "z", "qq"])
+        docs.append((i, "".join(t), "s"))
+    for rows in (docs, ODD):
+        got = sorted(((r.doc_id, r.class_id) for r in fp.near_copies(documents(spark, rows)).collect()), key=str)
+        assert got == classes([x[:2] for x in rows])
+    assert any(d != c for d, c in classes([x[:2] for x in docs]))
+    assert fp.near_copies(documents(spark, [])).collect() == []
