@@ -38,7 +38,7 @@ PERIOD, CLASSES = 4096, 256
 THRESHOLD, RECALL = 0.8, 0.9999
 
 #: Characters walked together, about, and texts under which they are walked one by one.
-WALKED, FEW = 4_000_000, 48
+WALKED, FEW = 2_000_000, 48
 
 #: Bytes of text of one range of the order, about.
 RANGE_BYTES = 32_000_000
@@ -93,7 +93,7 @@ class Walks:
         """The step at which the walk of each text comes to each of its characters, and the length of each walk."""
         lengths = np.diff(offsets)
         order = np.argsort(-lengths, kind="stable")
-        out, total = np.zeros(len(classes), np.int64), np.zeros(len(lengths), np.int64)
+        out, total = np.zeros(len(classes), np.int32), np.zeros(len(lengths), np.int64)
         at, step, i = offsets[:-1][order].copy(), np.zeros(len(order), np.int64), 0
         # active texts are the longest ones; how many are longer than i
         longer = np.searchsorted(-lengths[order], -np.arange(int(lengths.max(initial=0)) + 1), "left")
@@ -126,7 +126,7 @@ class Walks:
     def _some(self, texts: list[str]) -> list[str]:
         points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-        classes = ((points * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.int64)
+        classes = ((points * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
         steps, total = self.steps(classes, offsets)
         digits = np.zeros((len(texts), len(self.records)), np.uint8)
         full = np.flatnonzero(total)
