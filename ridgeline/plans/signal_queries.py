@@ -135,7 +135,7 @@ QUERIES = {
     "vif_diagnostic": lambda s, d: rounded(ml.vif(feature_matrix(s, d), signal.FEATURES), 3),
     "vif_filter": lambda s, d: ml.vif_filter(feature_matrix(s, d), signal.FEATURES),
     "gbm_nested_cv": lambda s, d: rounded(ml.nested_cv(feature_matrix(s, d), signal.FEATURES)),
-    "gbm_permutation": lambda s, d: rounded(ml.permutation_null(feature_matrix(s, d), signal.FEATURES)),
+    "gbm_permutation": lambda s, d: rounded(ml.permutation_test(ml.permutation_null(feature_matrix(s, d), signal.FEATURES))),
     "gbm_feature_importance": lambda s, d: rounded(ml.importance(feature_matrix(s, d), signal.FEATURES)),
 }
 
