@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import bonferroni, medians, normal_tail
@@ -75,9 +75,10 @@ def contingency(df: DataFrame, row: str, column: str, values: Sequence) -> DataF
     return wide.select(row, *[F.coalesce(F.col(str(v)), F.lit(0)).alias(f"s{v}") for v in values])
 
 
-def gene_filter(bulk: DataFrame, least: int, samples: int) -> DataFrame:
-    """(category, gene) with ``least`` counts in ``samples`` samples or more."""
-    return bulk.groupBy("category", "gene").agg(F.count_if(F.col("n") >= least).alias("passing")).where(F.col("passing") >= samples).select("category", "gene")
+def gene_filter(bulk: DataFrame, least: int, samples: int, *keys: str) -> DataFrame:
+    """(category, gene) with ``least`` counts in ``samples`` samples or more; by ``keys`` in place of the category, if any are given."""
+    by = [*(keys or ("category",)), "gene"]
+    return bulk.groupBy(*by).agg(F.count_if(F.col("n") >= least).alias("passing")).where(F.col("passing") >= samples).select(*by)
 
 
 def depth_status(bulk: DataFrame, share: float, samples: int) -> DataFrame:
@@ -102,12 +103,14 @@ def threshold_sums(counts: DataFrame, confidence: str, thresholds: Sequence[floa
     return stacked.select("x.threshold", "sample", "gene", "x.n").where("n > 0")
 
 
-def size_factors(bulk: DataFrame, samples: int) -> DataFrame:
-    """Per category and sample: the median over genes, counted in all samples, of the ratio to their geometric mean."""
+def size_factors(bulk: DataFrame, samples: int | Column, *keys: str) -> DataFrame:
+    """Per category (or ``keys``) and sample: the median over genes, counted in all ``samples``, of the ratio to their geometric mean."""
+    by = keys or ("category",)
     logs = bulk.where("n > 0").withColumn("log", F.ln(F.col("n").cast("double")))
-    gene = Window.partitionBy("category", "gene")
+    gene = Window.partitionBy(*by, "gene")
     whole = logs.withColumn("seen", F.count(F.lit(1)).over(gene)).withColumn("centre", F.avg("log").over(gene)).where(F.col("seen") == samples)
-    return whole.groupBy("category", "sample").agg(F.exp(F.percentile(F.col("log") - F.col("centre"), F.lit(0.5))).alias("size_factor"))
+    ratios = checkpoint(whole.select(*by, "sample", (F.col("log") - F.col("centre")).alias("ratio")))
+    return medians(ratios, ["ratio"], *by, "sample").select(*by, "sample", F.exp("median_ratio").alias("size_factor"))
 
 
 def cpm(bulk: DataFrame) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import checks, counts, enrichment, expression, scenarios, spatial
+from ..operators import checks, counts, enrichment, expression, negative_binomial, scenarios, spatial
 from ..sources import tables
 from .common import BULK, COUNTS, r, rounded
-from .count_queries import _DE, _RANKED, _SPLITS, IN_SAMPLES, LEAST, SAMPLES, THRESHOLDS, bulk, confident, de_table, genes, ranked, split_groups
+from .count_queries import _DE, _RANKED, _SPLITS, IN_SAMPLES, LEAST, SAMPLES, THRESHOLDS, bulk, confident, de_table, genes, ranked, sham, split_groups
 
 #: Least total of a sample for a category to be analysed, and least beads of a sample in a category.
 MIN_TOTAL, MIN_BEADS = 100_000, 3
@@ -31,11 +31,28 @@ def de_status(spark, sf):
     return rounded(expression.status_table(de_table(spark, sf), bulk(spark, sf), MIN_TOTAL, len(SAMPLES)), 9)
 
 
-def leave_one_out_de(spark, sf):
-    """Expression with all samples and without each of the larger group, all in one plan."""
+def left_out(spark: SparkSession, sf: str) -> DataFrame:
+    """(scenario, sample, grp): all samples, and all but each of the larger group."""
     items = bulk(spark, sf).select(F.col("sample").alias("item")).distinct()
     plan = scenarios.leave_one_out(items, items.where("item >= 2"))
-    groups = plan.select("scenario", F.col("item").alias("sample"), (F.col("item") < 2).cast("int").alias("grp"))
+    return plan.select("scenario", F.col("item").alias("sample"), (F.col("item") < 2).cast("int").alias("grp"))
+
+
+def nb_wald(spark, sf):
+    """The iterative fit of the true design and of a sham one, per category."""
+    return rounded(negative_binomial.wald(bulk(spark, sf), sham(spark), LEAST, IN_SAMPLES), 6)
+
+
+def nb_leave_one_out(spark, sf):
+    """Status and summary of the iterative fit per category, with all samples and without each of the larger group."""
+    groups = left_out(spark, sf)
+    table = negative_binomial.wald(bulk(spark, sf), groups, LEAST, IN_SAMPLES)
+    return rounded(negative_binomial.status_table(table, bulk(spark, sf), groups, LEAST, IN_SAMPLES, MIN_TOTAL))
+
+
+def leave_one_out_de(spark, sf):
+    """Expression with all samples and without each of the larger group, all in one plan; a scenario has its own filter and factors."""
+    groups = left_out(spark, sf)
     return rounded(expression.summary(expression.wald(bulk(spark, sf), groups, LEAST, IN_SAMPLES), "scenario", "category"))
 
 
@@ -62,6 +79,8 @@ QUERIES = {
     "de_status": de_status,
     "leave_one_out_de": leave_one_out_de,
     "threshold_split_de": threshold_split_de,
+    "nb_wald": nb_wald,
+    "nb_leave_one_out": nb_leave_one_out,
     "leading_edge": lambda s, d: enrichment.leading_edge(ranked(s, d), tables.gene_sets(s, d)),
     "top_significant": top_significant,
     "value_counts": lambda s, d: checks.value_counts(tables.read(s, d, "part").where(F.col("p_name").contains("ring")), "p_type"),
@@ -73,12 +92,13 @@ QUERIES = {
 
 def _wald(source: str, groups: str) -> str:
     return f"""{source}, grp AS ({groups}),
-kept AS (SELECT category, gene FROM bulk GROUP BY ALL HAVING count(*) FILTER (WHERE n >= {LEAST}) >= {IN_SAMPLES}),
-lg AS (SELECT b.category, b.sample, b.gene, ln(b.n::DOUBLE) AS lg, count(*) OVER g AS seen, avg(ln(b.n::DOUBLE)) OVER g AS centre FROM bulk b JOIN kept k ON k.category = b.category AND k.gene = b.gene WHERE b.n > 0 WINDOW g AS (PARTITION BY b.category, b.gene)),
-fac AS (SELECT category, sample, exp(quantile_cont(lg - centre, 0.5)) AS f FROM lg WHERE seen = 5 GROUP BY ALL),
-wcells AS (SELECT k.category, k.gene, f.sample, coalesce(b.n, 0) / f.f AS q, f.f AS f FROM kept k JOIN fac f ON f.category = k.category LEFT JOIN bulk b ON b.category = k.category AND b.gene = k.gene AND b.sample = f.sample),
+own AS (SELECT scenario, grp, bulk.* FROM bulk JOIN grp USING (sample)), sizes AS (SELECT scenario, count(*) AS samples FROM grp GROUP BY scenario),
+kept AS (SELECT scenario, category, gene FROM own GROUP BY ALL HAVING count(*) FILTER (WHERE n >= {LEAST}) >= {IN_SAMPLES}),
+lg AS (SELECT b.scenario, b.category, b.sample, b.gene, ln(b.n::DOUBLE) AS lg, count(*) OVER g AS seen, avg(ln(b.n::DOUBLE)) OVER g AS centre FROM own b JOIN kept k ON k.scenario = b.scenario AND k.category = b.category AND k.gene = b.gene WHERE b.n > 0 WINDOW g AS (PARTITION BY b.scenario, b.category, b.gene)),
+fac AS (SELECT scenario, category, sample, exp(quantile_cont(lg - centre, 0.5)) AS f FROM lg JOIN sizes USING (scenario) WHERE seen = samples GROUP BY ALL),
+wcells AS (SELECT k.scenario, k.category, k.gene, f.sample, coalesce(b.n, 0) / f.f AS q, f.f AS f FROM kept k JOIN fac f ON f.scenario = k.scenario AND f.category = k.category LEFT JOIN own b ON b.scenario = k.scenario AND b.category = k.category AND b.gene = k.gene AND b.sample = f.sample),
 wt AS (SELECT scenario, category, gene, avg(q) AS bm, avg(1 / f) AS inv, avg(q) FILTER (WHERE grp = 0) AS m0, avg(q) FILTER (WHERE grp = 1) AS m1, var_samp(q) FILTER (WHERE grp = 0) AS v0, var_samp(q) FILTER (WHERE grp = 1) AS v1,
-  count(*) FILTER (WHERE grp = 0) AS c0, count(*) FILTER (WHERE grp = 1) AS c1 FROM wcells JOIN grp USING (sample) GROUP BY scenario, category, gene),
+  count(*) FILTER (WHERE grp = 0) AS c0, count(*) FILTER (WHERE grp = 1) AS c1 FROM wcells JOIN grp USING (scenario, sample) GROUP BY scenario, category, gene),
 wd AS (SELECT *, 1 / bm AS x, greatest(((coalesce(v0, 0) * (c0 - 1) + coalesce(v1, 0) * (c1 - 1)) / greatest(c0 + c1 - 2, 1) - inv * bm) / (bm * bm), 1e-8::DOUBLE) AS own FROM wt WHERE bm > 0 AND c0 > 0 AND c1 > 0),
 we AS (SELECT *, greatest(avg(own) OVER c + coalesce(covar_pop(own, x) OVER c / nullif(var_pop(x) OVER c, 0), 0) * (x - avg(x) OVER c), 1e-8::DOUBLE) AS trend FROM wd WINDOW c AS (PARTITION BY scenario, category)),
 wf AS (SELECT *, exp(0.5::DOUBLE * ln(trend) + 0.5::DOUBLE * ln(own)) AS disp, greatest(m0, 0.5::DOUBLE * inv) AS a0, greatest(m1, 0.5::DOUBLE * inv) AS a1 FROM we),
