@@ -9,16 +9,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.shuffles import checkpoint, join_frequent
+from .ordered import in_ranges, running, totals
 
 #: The 0.975 quantile of the normal distribution (a fixed value).
 Z_975 = 1.959963984540054
 
 
-def mid_rank(value: Column | str, *by: str) -> Column:
-    """Rank within ``by``, ties at the mean of their ranks."""
-    groups = Window.partitionBy(*by)
-    ties = Window.partitionBy(*by, value)
-    return F.rank().over(groups.orderBy(value)) + (F.count(F.lit(1)).over(ties) - 1) / F.lit(2.0)
+def below(counted: DataFrame, value: str, count: str, *by: str) -> DataFrame:
+    """``counted`` (a row a distinct ``value`` of ``by``) with ``_below``: how many rows have a smaller one."""
+    return running(in_ranges(counted, by, [value]), by, [value], {"_below": F.col(count)}).drop("_range")
+
+
+def mid_ranks(df: DataFrame, value: str, out: str, *by: str) -> DataFrame:
+    """``df`` with ``out``: the rank within ``by``, ties at the mean of their ranks; rows without a value have none."""
+    counted = below(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c")), value, "_c", *by)
+    ranks = checkpoint(counted.select(*by, value, "_c", (F.col("_below") + (F.col("_c") + 1) / F.lit(2.0)).alias(out)))
+    return join_frequent(df, ranks, [*by, value], "_c", how="left").drop("_c")
 
 
 #: Share of ranks on each side of the middle that a sketch leaves for exact counting, and the sketch's accuracy (error 1 / accuracy).
@@ -64,10 +70,12 @@ def group_summary(long: DataFrame) -> DataFrame:
 
 
 def mann_whitney(long: DataFrame, *by: str) -> DataFrame:
-    """Per ``by``: U of label 1, group sizes, whether there are ties, and the tie term of the variance."""
-    ranked = long.where("value IS NOT NULL").withColumn("rank", mid_rank("value", *by)).withColumn("tied", F.count(F.lit(1)).over(Window.partitionBy(*by, "value")))
-    n1 = F.count_if(F.col("label") == 1)
-    table = ranked.groupBy(*by).agg(n1.alias("n1"), F.count_if(F.col("label") == 0).alias("n0"), F.sum(F.when(F.col("label") == 1, F.col("rank"))).alias("r1"), F.sum(F.col("tied") * F.col("tied") - 1).alias("tie_term"))
+    """Per ``by``: U of label 1, group sizes, whether there are ties, and the tie term of the variance; values are counted before they are ranked."""
+    is_ = lambda k: F.count_if(F.col("label") == k)
+    counted = long.where("value IS NOT NULL").groupBy(*by, "value").agg(F.count(F.lit(1)).alias("_c"), is_(1).alias("_c1"), is_(0).alias("_c0"))
+    ranked = below(counted, "value", "_c", *by)
+    rank, cube = F.col("_below") + (F.col("_c") + 1) / F.lit(2.0), F.col("_c") * (F.col("_c") * F.col("_c") - 1)
+    table = ranked.groupBy(*by).agg(F.sum("_c1").alias("n1"), F.sum("_c0").alias("n0"), F.sum(F.when(F.col("_c1") > 0, F.col("_c1") * rank)).alias("r1"), F.sum(cube).alias("tie_term"))
     return table.withColumn("u", F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2).drop("r1")
 
 
@@ -115,16 +123,16 @@ def mann_whitney_p(table: DataFrame) -> DataFrame:
 
 def bh_adjust(df: DataFrame, p: str, out: str, *by: str) -> DataFrame:
     """Benjamini-Hochberg within ``by``: the running minimum of p m / rank from the largest p; nulls stay null and don't count."""
-    valid = F.col(p).isNotNull()
-    rank = F.row_number().over(Window.partitionBy(*by, valid).orderBy(F.col(p)))
-    m = F.count(p).over(Window.partitionBy(*by))
-    df = df.withColumn("_scaled", F.when(valid, F.col(p) * m / rank))
-    running = F.min("_scaled").over(Window.partitionBy(*by, valid).orderBy(F.desc(p), F.asc("_scaled")).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn(out, F.when(valid, F.least(running, F.lit(1.0)))).drop("_scaled")
+    order = [F.asc_nulls_last(p)]
+    ranges = in_ranges(df, by, order)
+    ranks = totals(running(ranges, by, order, {"_rank": F.lit(1)}), by, _m=F.count(p))
+    scaled = F.when(F.col(p).isNotNull(), F.col(p) * F.col("_m") / (F.col("_rank") + 1))
+    table = running(ranks, by, order, least_from_here={"_least": scaled})
+    return table.withColumn(out, F.when(F.col(p).isNotNull(), F.least("_least", F.lit(1.0)))).drop("_range", "_rank", "_m", "_least")
 
 
 def bonferroni(df: DataFrame, p: str, out: str, *by: str) -> DataFrame:
-    return df.withColumn(out, F.least(F.col(p) * F.count(p).over(Window.partitionBy(*by)), F.lit(1.0)))
+    return totals(df, by, _m=F.count(p)).withColumn(out, F.least(F.col(p) * F.col("_m"), F.lit(1.0))).drop("_m")
 
 
 def wilson(k: Column, n: Column, z: float = Z_975) -> tuple[Column, Column]:
@@ -138,8 +146,7 @@ def auc(df: DataFrame, label: str, score: str, *by: str) -> DataFrame:
     """Area under the ROC curve by mid-ranks of distinct scores; null if a class is missing. Rows without a score don't count."""
     # equal scores first, so ranks run over distinct scores
     counted = df.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("_score")).agg(F.count(F.lit(1)).alias("_c"), F.count_if(F.col(label) == 1).alias("_c1"), F.count_if(F.col(label) == 0).alias("_c0"))
-    below = F.coalesce(F.sum("_c").over(Window.partitionBy(*by).orderBy("_score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = counted.withColumn("_rank", below + (F.col("_c") + 1) / F.lit(2.0))
+    ranked = below(counted, "_score", "_c", *by).withColumn("_rank", F.col("_below") + (F.col("_c") + 1) / F.lit(2.0))
     table = ranked.groupBy(*by).agg(F.sum("_c1").alias("n1"), F.sum("_c0").alias("n0"), F.sum(F.col("_c1") * F.col("_rank")).alias("r1"))
     return table.withColumn("auc", F.try_divide(F.col("r1") - F.col("n1") * (F.col("n1") + 1) / F.lit(2.0), (F.col("n1") * F.col("n0")).cast("double"))).drop("r1")
 
