@@ -32,7 +32,7 @@ def in_ranges(df: DataFrame, by: Sequence[str], order: Sequence[Column | str]) -
     return checkpoint(written.repartitionByRange(*[F.col(b) for b in by], *map(_name, order)).withColumn("_range", F.spark_partition_id()))
 
 
-def _joined(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+def joined(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join on ``keys``, nulls being equal; ``table`` is broadcast if it is small."""
     right = table.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in table.columns if c not in keys])
     right = F.broadcast(right) if table.count() <= BROADCAST_ROWS else right
@@ -64,9 +64,9 @@ def running(ranges: DataFrame, by: Sequence[str], order: Sequence[Column | str],
     group = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_range")
     outer = [(F.sum if n in sums else F.min)(f"_of{i}").over(group.rowsBetween(Window.unboundedPreceding, -1) if n in sums else group.rowsBetween(1, Window.unboundedFollowing)).alias(f"_off{i}") for i, n in enumerate(names)]
     offsets = checkpoint(each.select(*by, "_range", *outer))
-    joined = _joined(out, offsets, [*by, "_range"])
+    found = joined(out, offsets, [*by, "_range"])
     final = {n: F.col(f"_own{i}") + F.coalesce(f"_off{i}", F.lit(0)) if n in sums else F.least(f"_own{i}", f"_off{i}") for i, n in enumerate(names)}
-    return joined.withColumns(final).drop(*[f"_{kind}{i}" for kind in ("in", "own", "off") for i in range(len(names))])
+    return found.withColumns(final).drop(*[f"_{kind}{i}" for kind in ("in", "own", "off") for i in range(len(names))])
 
 
 def numbered(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], name: str = "rank") -> DataFrame:
@@ -76,4 +76,4 @@ def numbered(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], na
 
 def totals(df: DataFrame, by: Sequence[str], **sums: Column) -> DataFrame:
     """``df`` with sums over the groups ``by``, which are added up before they are joined."""
-    return _joined(df, checkpoint(df.groupBy(*by).agg(*[e.alias(n) for n, e in sums.items()])), by)
+    return joined(df, checkpoint(df.groupBy(*by).agg(*[e.alias(n) for n, e in sums.items()])), by)

@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.shuffles import checkpoint, join_frequent
-from .ordered import in_ranges, running, totals
+from .ordered import in_ranges, joined, running, totals
 
 #: The 0.975 quantile of the normal distribution (a fixed value).
 Z_975 = 1.959963984540054
 
+#: Where the share of true nulls is estimated (fixed values).
+GRID = tuple(i / 20 for i in range(1, 20))
+
 
 def below(counted: DataFrame, value: str, count: str, *by: str) -> DataFrame:
     """``counted`` (a row a distinct ``value`` of ``by``) with ``_below``: how many rows have a smaller one."""
@@ -121,14 +126,49 @@ def mann_whitney_p(table: DataFrame) -> DataFrame:
     return table.withColumn("p", F.when(small, exact(F.when(small, F.col("u")), "n1", "n0")).otherwise(u_normal_p(table)))
 
 
-def bh_adjust(df: DataFrame, p: str, out: str, *by: str) -> DataFrame:
-    """Benjamini-Hochberg within ``by``: the running minimum of p m / rank from the largest p; nulls stay null and don't count."""
+def bh_adjust(df: DataFrame, p: str, out: str, *by: str, least: bool = True) -> DataFrame:
+    """Benjamini-Hochberg within ``by``: the running minimum of p m / rank from the largest p, at most 1 (unless ``least`` is false); nulls stay null and don't count."""
     order = [F.asc_nulls_last(p)]
     ranges = in_ranges(df, by, order)
     ranks = totals(running(ranges, by, order, {"_rank": F.lit(1)}), by, _m=F.count(p))
     scaled = F.when(F.col(p).isNotNull(), F.col(p) * F.col("_m") / (F.col("_rank") + 1))
     table = running(ranks, by, order, least_from_here={"_least": scaled})
-    return table.withColumn(out, F.when(F.col(p).isNotNull(), F.least("_least", F.lit(1.0)))).drop("_range", "_rank", "_m", "_least")
+    return table.withColumn(out, F.when(F.col(p).isNotNull(), F.least("_least", F.lit(1.0)) if least else F.col("_least"))).drop("_range", "_rank", "_m", "_least")
+
+
+def null_share(tested: float, reach: Sequence[float], grid: Sequence[float], smooth: bool = True) -> float:
+    """The share of true nulls among ``tested`` p values, of which ``reach`` are at each value of ``grid`` or over.
+
+    Smoothed over the grid by a natural cubic spline of three degrees of freedom and read at its end, or
+    (``smooth`` false) the value with the least estimated mean squared error.
+    """
+    x, w = np.array(grid, float), np.array(reach, float)
+    share = w / tested / (1 - x)
+    if len(x) < 4:
+        return float(min(share[-1], 1.0))
+    if smooth:
+        knots = np.quantile(x, [0, 1 / 3, 2 / 3, 1])
+        bend = lambda k: (np.clip(x - knots[k], 0, None) ** 3 - np.clip(x - knots[3], 0, None) ** 3) / (knots[3] - knots[k])
+        basis = np.column_stack([np.ones(len(x)), x, bend(0) - bend(2), bend(1) - bend(2)])
+        fitted = basis @ np.linalg.lstsq(basis, share, rcond=None)[0]
+        return float(min(max(fitted[-1], 1e-12), 1.0))
+    error = w / (tested**2 * (1 - x) ** 2) * (1 - w / tested) + (share - np.quantile(share, 0.1)) ** 2
+    return float(min(share[int(np.argmin(error))], 1.0))
+
+
+def q_values(df: DataFrame, p: str, out: str, *by: str, grid: Sequence[float] = GRID, smooth: bool = True) -> DataFrame:
+    """q values within ``by``: the running minimum of p m pi0 / rank, where pi0 is :func:`null_share` of the group's p values; nulls stay null."""
+    reach = [F.count_if(F.col(p) >= t).alias(f"_r{i}") for i, t in enumerate(grid)]
+    counted = df.groupBy(*by).agg(F.count(p).alias("_m"), *reach)
+
+    def shares(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = b[["_m", *[f"_r{i}" for i in range(len(grid))]]].to_numpy(float)
+            yield b[list(by)].assign(_share=[null_share(r[0], r[1:], grid, smooth) if r[0] else None for r in rows])
+
+    kinds = "".join(f"`{b}` {df.schema[b].dataType.simpleString()}, " for b in by)
+    share = checkpoint(counted.mapInPandas(shares, f"{kinds}_share double"))
+    return joined(bh_adjust(df, p, "_q", *by, least=False), share, by).withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.col("_q") * F.col("_share"), F.lit(1.0)))).drop("_q", "_share")
 
 
 def bonferroni(df: DataFrame, p: str, out: str, *by: str) -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import checks, counts, enrichment, expression, negative_binomial, scenarios, spatial
+from ..operators.shuffles import checkpoint
 from ..sources import tables
 from .common import BULK, COUNTS, r, rounded
-from .count_queries import _DE, _RANKED, _SPLITS, IN_SAMPLES, LEAST, SAMPLES, THRESHOLDS, bulk, confident, de_table, genes, ranked, sham, split_groups
+from .count_queries import _DE, _RANKED, _SPLITS, IN_SAMPLES, LEAST, SAMPLES, THRESHOLDS, bulk, confident, de_table, gene_sets, genes, ranked, sham, split_groups
 
 #: Least total of a sample for a category to be analysed, and least beads of a sample in a category.
 MIN_TOTAL, MIN_BEADS = 100_000, 3
@@ -56,6 +57,50 @@ def leave_one_out_de(spark, sf):
     return rounded(expression.summary(expression.wald(bulk(spark, sf), groups, LEAST, IN_SAMPLES), "scenario", "category"))
 
 
+#: Sets that are reported for every scenario.
+TRACKED = {"first": "Brand#1", "second": "Brand#2"}
+
+
+def scenario_enrichment(spark: SparkSession, sf: str, table: DataFrame, groups: DataFrame) -> DataFrame:
+    """Per scenario and category of ``table`` (see :func:`expression.wald`): samples, genes tested and significant, sets significant, NES and padj of the tracked sets.
+
+    Each scenario and category has a list of its own: identifiers are mapped and made unique, ranked, and tested against nulls of that list.
+    """
+    table = checkpoint(table)
+    lists = enrichment.map_genes(table.select("scenario", "category", "gene", "stat"), tables.gene_map(spark, sf), "scenario", "category")
+    listed = enrichment.ranked(lists, "scenario", "category")
+    found = enrichment.permuted_enrichment(listed, gene_sets(spark, sf), "scenario", "category")
+    summary = expression.summary(table, "scenario", "category").select("scenario", "category", "genes_tested", F.col("n_padj_005").alias("n_genes_padj005"))
+    many = groups.groupBy("scenario").agg(F.countDistinct("sample").alias("n_samples"))
+    return summary.join(F.broadcast(many), "scenario").join(enrichment.tracked(found, TRACKED, "scenario", "category"), ["scenario", "category"], "left")
+
+
+def leave_one_out_gsea(spark, sf):
+    """Enrichment with all samples and without each of the larger group, per category."""
+    groups = left_out(spark, sf)
+    return rounded(scenario_enrichment(spark, sf, expression.wald(bulk(spark, sf), groups, LEAST, IN_SAMPLES), groups))
+
+
+def split_gsea(spark, sf):
+    """Enrichment in all ways to choose two of the five samples, per category, with each value's rank among the splits."""
+    groups = split_groups(spark)
+    found = checkpoint(scenario_enrichment(spark, sf, expression.wald(bulk(spark, sf), groups, LEAST, IN_SAMPLES), groups))
+    ranks = scenarios.observed_rank(found.withColumn("is_true", F.col("scenario") == "0"), "n_sets_padj005", "category").select("category", "reached", "splits", "p")
+    return rounded(found.join(F.broadcast(ranks), "category"))
+
+
+def threshold_gsea(spark, sf):
+    """Enrichment of the true design at each confidence threshold, with the least counted places (rows) and depth of a sample."""
+    groups = split_groups(spark).where("scenario = '0'")
+    cells = confident(spark, sf).withColumn("category", F.col("threshold").cast("string"))
+    rows = tables.read(spark, sf, "lineitem").where("l_returnflag = 'R'").select((F.col("l_suppkey") % 5).alias("sample"), F.round("l_discount", 2).alias("confidence"))
+    places = rows.crossJoin(F.broadcast(spark.createDataFrame([(float(t),) for t in THRESHOLDS], "threshold double"))).where("confidence >= threshold")  # five thresholds
+    least = places.groupBy("threshold", "sample").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("threshold").cast("string").alias("category")).agg(F.min("n").alias("min_beads"))
+    depth = counts.totals(cells).groupBy("category").agg(F.min("total").alias("min_depth"))
+    found = scenario_enrichment(spark, sf, expression.wald(cells, groups, LEAST, IN_SAMPLES), groups).drop("scenario", "n_samples")
+    return rounded(least.join(depth, "category").join(found, "category", "left").withColumnRenamed("category", "threshold"))
+
+
 def threshold_split_de(spark, sf):
     """Per confidence threshold: genes significant in the true design and its rank among all splits (50 fits in one plan)."""
     cells = confident(spark, sf).withColumn("category", F.col("threshold").cast("string"))
@@ -79,6 +124,9 @@ QUERIES = {
     "de_status": de_status,
     "leave_one_out_de": leave_one_out_de,
     "threshold_split_de": threshold_split_de,
+    "leave_one_out_gsea": leave_one_out_gsea,
+    "split_gsea": split_gsea,
+    "threshold_gsea": threshold_gsea,
     "nb_wald": nb_wald,
     "nb_leave_one_out": nb_leave_one_out,
     "leading_edge": lambda s, d: enrichment.leading_edge(ranked(s, d), tables.gene_sets(s, d)),

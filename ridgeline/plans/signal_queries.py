@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from ..functions.ordered import numbered
 from ..operators import ml, scenarios, signal
 from ..sources import tables
 from .common import FOLDED, LEAST, SERIES, SIZE, STEP, WINDOWS, r, rounded, windows
@@ -33,8 +34,8 @@ def folded(spark: SparkSession, sf: str) -> DataFrame:
     events = tables.read(spark, sf, "events")
     animal = F.col("user_id") % 16
     centred = events.select(animal.alias("animal"), (animal % 2).alias("label"), "user_id", "ts", "event_id", (F.col("value") - F.avg("value").over(Window.partitionBy("user_id"))).alias("v"))
-    order = Window.partitionBy("animal").orderBy("user_id", "ts", "event_id")
-    return centred.select("animal", "label", (F.row_number().over(order) - 1).alias("pos"), "v")
+    placed = numbered(centred, ["animal"], ["user_id", "ts", "event_id"], "pos")
+    return placed.select("animal", "label", (F.col("pos") - 1).alias("pos"), "v")
 
 
 def means(spark: SparkSession, sf: str) -> DataFrame:
