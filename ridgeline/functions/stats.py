@@ -119,7 +119,7 @@ def normal_tail(z: Column) -> Column:
 
 
 def mann_whitney_p(table: DataFrame) -> DataFrame:
-    """``table`` of :func:`mann_whitney` with ``p``: exact where a group has 8 or fewer and nothing ties, else normal."""
+    """``table`` of :func:`mann_whitney` with ``p``: exact where the smaller group has 8 or fewer, the larger 200 or fewer, and nothing ties; else normal."""
     # a row per feature; the function is called for all rows, whatever the condition around it, so others pass it a null
     exact = F.udf(lambda u, a, b: exact_u_probability(u, a, b) if u is not None and a and b else None, "double")
     small = (F.least("n1", "n0") <= 8) & (F.col("tie_term") == 0) & (F.greatest("n1", "n0") <= 200)
