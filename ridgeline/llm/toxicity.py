@@ -268,7 +268,12 @@ def toxicity(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text:
 
 
 def without_toxic(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``df`` that aren't toxic, with all their columns."""
+    """The rows of ``df`` that aren't toxic, with all their columns.
+
+    Null and empty texts have no features and stay. Rows that repeat share their fate;
+    rows that share an id are judged by their own texts. An empty table gives no rows; without
+    labelled rows of both kinds nothing is called toxic.
+    """
     docs = df.select(column(df, id_column).alias("doc_id"), text_column(df, text).alias("text"))
     name = free_name(df, "severity")
     scored = score(df, fit(docs, labels.select("doc_id", "toxic"), sample), text, name)
