@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shuffles import checkpoint, frequent_limit, join_frequent
+from .shuffles import checkpoint, frequent_limit, join_frequent, let_go
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -14,7 +14,7 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     Labels start at the smallest neighbour. In each round an edge offers the label
     at one end to the other end and to that end's own label, then labels of labels
     are taken; the number of rounds grows with the logarithm of the longest path.
-    All steps are joins and minima, and each round is checkpointed. The edges of a
+    All steps are joins and minima; each round is checkpointed and the files of the last one deleted. The edges of a
     hub and the nodes of a large component are dealt over several tasks. Null ends
     are ignored; a loop names its node alone.
     """
@@ -36,3 +36,4 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
         limit = frequent_limit(hooked.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "n")
         jumped = hooked.join(parents, "label") if limit is None else join_frequent(hooked, checkpoint(known), ["label"], "n", limit=limit)
         labels = checkpoint(jumped.select("node", F.least("label", "above").alias("label"), "degree"))
+        let_go(labels.sparkSession)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key is frequent with more rows than this, and more than one in so many of all rows (so there are fewer such keys than that).
@@ -25,6 +26,18 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of tables that nothing refers to any more.
+
+    It deletes them when the driver's JVM collects garbage, which a driver of many small steps may
+    not do for long, while the files stay on the executors' disks. Checkpoints go too where
+    spark.cleaner.referenceTracking.cleanCheckpoints is set. Python's own dead handles go first, as
+    each keeps a table of the JVM alive.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def frequent_limit(counts: DataFrame, count: str) -> int | None:
     """The rows over which a key is frequent, given ``counts`` by key; None if no key is."""
     total, largest = counts.agg(F.sum(count), F.max(count)).first()

@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from ridgeline.operators import shuffles
@@ -25,3 +27,27 @@ def test_rows_of_a_frequent_key_spread(spark, monkeypatch):
 def test_empty_sides(spark):
     left, right = spark.createDataFrame([], "k int, v int"), spark.createDataFrame([], "k int, n long")
     assert shuffles.join_frequent(left, right, ["k"], "n").collect() == []
+
+
+def test_dead_shuffles_are_let_go(spark):
+    def held():
+        return spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+
+    def wait(most):
+        deadline = time.time() + 20
+        while held() > most and time.time() < deadline:
+            shuffles.let_go(spark)
+            time.sleep(0.1)
+        return held()
+
+    wait(0)
+    before = held()
+    kept = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    rows = sorted(map(tuple, kept.collect()))
+    saved = shuffles.checkpoint(kept)
+    for _ in range(5):
+        spark.range(1000).groupBy((F.col("id") % 5).alias("k")).count().collect()
+    assert held() > before + 4
+    del kept
+    assert wait(before + 2) <= before + 2
+    assert sorted(map(tuple, saved.collect())) == rows
