@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
-from ..operators.shuffles import checkpoint, frequent_limit, join_frequent  # noqa: F401
+from ..operators.shuffles import checkpoint, frequent_limit, join_frequent, let_go  # noqa: F401
 
 #: A word, as a regular expression of Spark and of RE2.
 WORD = r"[^\x20\x09-\x0D]+"
