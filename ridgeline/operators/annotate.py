@@ -32,6 +32,28 @@ def split_id(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("sample", F.substring_index(column, "_", 1)).withColumn("barcode", F.regexp_replace(column, r"^[^_]+_", ""))
 
 
+def merged(parts: dict[str, DataFrame], column: str, name: str = "sample") -> DataFrame:
+    """All of ``parts`` in one table, ``column`` prefixed with the part's name and an underscore, and that name in ``name``.
+
+    Columns that a part lacks are null. :func:`split_id` undoes the prefix where names have no underscore.
+    """
+    if not parts:
+        raise ValueError("no parts to merge")
+    out = None
+    for part, df in parts.items():
+        rows = df.withColumns({name: F.lit(part), column: F.concat_ws("_", F.lit(part), F.col(column).cast("string"))})
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
+
+
+def plain_names(df: DataFrame) -> DataFrame:
+    """``df`` with underscores for the dots in its columns' names; a ValueError if two would then be the same."""
+    names = [c.replace(".", "_") for c in df.columns]
+    if len({n.lower() for n in names}) < len(names):
+        raise ValueError(f"columns of one name: {', '.join(sorted(n for n in set(names) if names.count(n) > 1))}")
+    return df.toDF(*names)
+
+
 def unmatched(df: DataFrame, column: str) -> int:
     """Rows without a category, which should be none."""
     return df.where(F.col(column).isNull()).count()

@@ -64,6 +64,11 @@ def pseudobulk_pivot(bulk: DataFrame, genes: DataFrame, samples: Sequence) -> Da
     return grid.join(wide, ["category", "gene"], "left").select("category", "gene", *named)
 
 
+def whole(df: DataFrame, column: str = "n") -> DataFrame:
+    """``df`` with ``column`` as a long, halves going to the even neighbour; null stays null."""
+    return df.withColumn(column, F.bround(column).cast("long"))
+
+
 def totals(bulk: DataFrame) -> DataFrame:
     """Per category and sample: total and detected genes."""
     return bulk.groupBy("category", "sample").agg(F.sum("n").alias("total"), F.count_if(F.col("n") > 0).alias("detected"))

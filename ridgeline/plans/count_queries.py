@@ -211,7 +211,22 @@ def split_de(spark, sf):
     return rounded(scenarios.observed_rank(found.withColumn("is_true", F.col("scenario") == "0"), "n_padj_005", "category"))
 
 
+def whole_counts(spark, sf):
+    """Half the summed counts, as whole numbers: half of all odd sums are ties between two."""
+    halves = bulk(spark, sf).withColumn("n", F.col("n") / F.lit(2.0))
+    return counts.whole(halves).select("category", "sample", "gene", "n")
+
+
+def merged_beads(spark, sf):
+    """Beads of the five samples, each under its sample's name."""
+    table = tables.counts(spark, sf)
+    beads = table.groupBy("sample", "bead").agg(F.sum("n").alias("umi"))
+    return annotate.merged({f"J{s}": beads.where(F.col("sample") == s).select("bead", "umi") for s in SAMPLES}, "bead")
+
+
 QUERIES = {
+    "whole_counts": whole_counts,
+    "merged_beads": merged_beads,
     "bead_qc": bead_qc,
     "zero_count_filter": zero_count_filter,
     "recode_category": lambda s, d: recoded(s, d).select("p_partkey", "p_type", "category"),
@@ -261,6 +276,8 @@ scores AS (SELECT w.set_id, any_value(h.hits) AS set_size, CASE WHEN max(running
 _CPM = f"{BULK}, expr AS (SELECT category, gene, sum(cpm) / 5 AS value FROM (SELECT category, gene, 1e6::DOUBLE * n / sum(n) OVER (PARTITION BY category, sample) AS cpm FROM bulk) WHERE gene IN (SELECT p_partkey FROM part WHERE p_brand = 'Brand#1') GROUP BY ALL), scored AS (SELECT *, (value - avg(value) OVER w) / nullif(stddev_samp(value) OVER w, 0) AS z FROM expr WINDOW w AS (PARTITION BY gene))"
 
 ORACLES = {
+    "whole_counts": f"WITH {BULK} SELECT category, sample, gene, round_even(n / 2.0, 0)::BIGINT AS n FROM bulk",
+    "merged_beads": f"WITH {COUNTS} SELECT 'J' || sample AS sample, 'J' || sample || '_' || bead AS bead, sum(n)::BIGINT AS umi FROM counts GROUP BY 1, 2",
     "bead_qc": f"WITH {COUNTS}, b AS (SELECT sample, bead, sum(n) AS umi, count(DISTINCT gene) FILTER (WHERE n > 0) AS genes, coalesce(sum(n) FILTER (WHERE gene IN (SELECT p_partkey FROM part WHERE regexp_matches(p_name, '^red'))), 0) AS mt FROM counts GROUP BY ALL HAVING sum(n) > 0) SELECT sample, count(*) AS beads_retained, {r('quantile_cont(umi::DOUBLE, 0.5)', 'median_umi')}, {r('quantile_cont(genes::DOUBLE, 0.5)', 'median_genes')}, {r('quantile_cont(100.0::DOUBLE * mt / umi, 0.5)', 'median_percent_mt')}, {r('avg(100.0::DOUBLE * mt / umi)', 'mean_percent_mt')}, sum(umi)::BIGINT AS total_umi, (SELECT count(DISTINCT gene) FROM counts c WHERE c.sample = b.sample) AS genes_detected FROM b GROUP BY sample",
     "zero_count_filter": f"WITH {COUNTS} SELECT s.sample::BIGINT AS sample, o_orderkey AS bead FROM orders CROSS JOIN (SELECT unnest(range(0, 5)) AS sample) s WHERE EXISTS (SELECT 1 FROM counts c WHERE c.sample = s.sample AND c.bead = o_orderkey AND c.n > 0)",
     "recode_category": f"SELECT p_partkey, p_type, category FROM ({_RECODED})",

@@ -43,6 +43,11 @@ def annotation_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, schema=schema, header=True, comment="#", enforceSchema=False)
 
 
+def positions(spark: SparkSession, path: str) -> DataFrame:
+    """(barcode, x, y) of a CSV with a header whose first column names the bead: columns are told by place, whatever the header calls them."""
+    return spark.read.csv(path, schema="barcode string, x double, y double", header=True, enforceSchema=True)
+
+
 def named_files(df: DataFrame, pattern: str, *names: str) -> DataFrame:
     """``df`` with the groups of ``pattern`` in its file's name as columns; rows of other files go."""
     name = F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1)

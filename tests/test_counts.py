@@ -106,3 +106,26 @@ def test_wald_finds_planted_genes(spark):
     assert len(called & set(range(20))) >= 18 and len(called - set(range(20))) <= 6
     lfc = {r.gene: r.log2FoldChange for r in table_}
     assert np.median([lfc[g] for g in range(20)]) == pytest.approx(2, abs=0.3)
+
+
+def test_halves_go_to_the_even_neighbour(spark):
+    df = spark.createDataFrame([(0, 0.5), (1, 1.5), (2, 2.5), (3, -0.5), (4, -1.5), (5, 2.4999), (6, None), (7, 3e9 + 0.5)], "i int, n double")
+    assert [r.n for r in counts.whole(df).orderBy("i").collect()] == [0, 2, 2, 0, -2, 2, None, 3_000_000_000]
+    assert counts.whole(df).schema["n"].dataType.typeName() == "long"
+
+
+def test_merged_parts_have_prefixed_ids(spark):
+    one = spark.createDataFrame([("a", 1)], "cell string, x int")
+    two = spark.createDataFrame([("a", 2.5)], "cell string, y double")
+    df = annotate.merged({"J1": one, "J2": two}, "cell")
+    assert sorted(map(str, (r.asDict() for r in df.collect()))) == sorted(map(str, [{"cell": "J1_a", "x": 1, "sample": "J1", "y": None}, {"cell": "J2_a", "x": None, "sample": "J2", "y": 2.5}]))
+    assert [(r["sample"], r.barcode) for r in annotate.split_id(df.select("cell"), "cell").orderBy("cell").collect()] == [("J1", "a"), ("J2", "a")]
+    with pytest.raises(ValueError):
+        annotate.merged({}, "cell")
+
+
+def test_dots_in_names(spark):
+    df = spark.createDataFrame([(1, 2)], "`a.b` int, c int")
+    assert annotate.plain_names(df).columns == ["a_b", "c"]
+    with pytest.raises(ValueError, match="a_b"):
+        annotate.plain_names(spark.createDataFrame([(1, 2)], "`a.b` int, a_b int"))

@@ -36,3 +36,10 @@ def test_sinks(spark, tmp_path):
     files.write_tables({"a b": df}, str(tmp_path), "g_")
     assert spark.read.csv(str(tmp_path / "g_a_b"), header=True).count() == 3
     assert json.loads(files.summary_json({"one": df.limit(1), "n": 2, "none": None})) == {"one": {"x": 0}, "n": 2, "none": None}
+
+
+def test_positions_by_place(spark, tmp_path):
+    (tmp_path / "J1_MatchedBeadLocation.csv").write_text('"","xcoord","ycoord"\n"AC-1",1.5,2\n"GT-1",NA,4\n')
+    df = files.positions(spark, str(tmp_path / "J1_MatchedBeadLocation.csv"))
+    assert df.columns == ["barcode", "x", "y"]
+    assert sorted(map(tuple, df.collect())) == [("AC-1", 1.5, 2.0), ("GT-1", None, 4.0)]
