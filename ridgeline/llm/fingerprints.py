@@ -278,8 +278,9 @@ def near_copies(df: DataFrame, id_column: str = "doc_id", text: str = "text", th
     # a sample and its digit as one element: agreement of fingerprints is similarity of sets
     digits = F.transform(F.sequence(F.lit(1), F.lit(SAMPLES)), lambda i: i.cast("long") * 16 + F.conv(F.substring(F.col("fingerprint"), i, F.lit(1)), 16, 10).cast("long"))
     sets = classes.select("key", digits.alias("grams"))
-    edges, labels = near_dedup.links(classes.drop("fingerprint"), lambda wanted: checkpoint(sets.join(wanted.select("key"), "key")), agree / (2 - agree))
-    return near_dedup.classified(signed, classes, edges, labels).select("doc_id", "class_id", "copy_of", "n_links")
+    jaccard = agree / (2 - agree)
+    _, labels, read = near_dedup.links(classes.drop("fingerprint"), lambda wanted: checkpoint(sets.join(wanted.select("key"), "key")), jaccard)
+    return near_dedup.classified(signed, classes, near_dedup.link_counts(classes, labels, read, jaccard), labels).select("doc_id", "class_id", "copy_of", "n_links")
 
 
 def op13(spark, sf_dir: str) -> DataFrame:

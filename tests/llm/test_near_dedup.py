@@ -84,6 +84,30 @@ def test_large_buckets_join_on_rare_grams(spark, monkeypatch, many, edits):
     compared(near_dedup.near_duplicates(documents(spark, docs), recall=0.999999).collect(), [x[:2] for x in docs])
 
 
+def exactly(rows, docs):
+    """Classes and all links as brute force has them."""
+    assert sorted(((r.doc_id, r.class_id, r.n_links) for r in rows), key=str) == brute(docs)
+
+
+@pytest.mark.parametrize("block", [near_dedup.BLOCK, 7])
+def test_no_link_is_left_out(spark, monkeypatch, block):
+    # pairs of a component that never meet in a star, in one block and in many; copies and other groups among them
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "BLOCK_GRAMS", 1000 if block == 7 else near_dedup.BLOCK_GRAMS)
+    monkeypatch.setattr(near_dedup, "COLUMNS", 50)
+    docs = [(i, t, "s") for i, (_, t, _) in enumerate(near_copies(3, 100, 9) + near_copies(4, 3, 1) * 2)]
+    docs += [(200 + i, " ".join(docs[0][1].split()[: 120 - 3 * i]), "s") for i in range(30)]
+    rows = near_dedup.near_duplicates(documents(spark, docs)).collect()
+    exactly(rows, [x[:2] for x in docs])
+    assert max(r.n_links for r in rows) > 20
+
+
+def test_pairs_without_a_common_band(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "bands_for", lambda *a: (1, 60))
+    docs = near_copies(6, 40, 6) + [(100 + i, t, s) for g in range(7, 12) for i, t, s in near_copies(g, 2, 5)] + ODD
+    exactly(near_dedup.near_duplicates(documents(spark, docs)).collect(), [x[:2] for x in docs])
+
+
 def around_a_passage(seed, many):
     """Unlike texts around one passage at a similarity of 0.4, some with a near copy."""
     rng = random.Random(seed)
