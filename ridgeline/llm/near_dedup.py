@@ -21,6 +21,8 @@ Buckets, representatives and copies that are frequent are dealt over several tas
 Links are counted whole: pairs that share no band meet on the rarest n-grams of all
 texts if they are in different components still, and then all pairs of a component are
 compared, a block of members with a block at a time. Only counts leave a block.
+Edited copies of one text share n-grams with all others of them. Where many sets
+meet on an n-gram, a sketch of each tells most pairs under the threshold inside the join.
 """
 
 from __future__ import annotations
@@ -55,6 +57,9 @@ BLOCK, BLOCK_GRAMS = 256, 1 << 18
 #: Columns of a block's matrix at once, and counters in a row of the sketch of all texts.
 COLUMNS, ROW = 2048, 4096
 
+#: With more sets than this on an n-gram, pairs are told by sketches too. A sketch has 64-bit words by its set's size, these at least and at most (powers of two).
+CROWD, LEAST_WORDS, MOST_WORDS = 32, 4, 64
+
 #: So many classes, 40 bytes each, are broadcast to find their texts.
 BROADCAST_ROWS = 100_000
 
@@ -101,24 +106,53 @@ def set_key(grams: np.ndarray) -> bytes:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
 
-def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, mark, key (of the n-gram set), n and band hashes of (doc_id, mark, text)."""
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, mark binary, key binary, n int, bands array<long>"
+def parity_sketch(grams: np.ndarray) -> np.ndarray:
+    """Bits that say of how many n-grams each is the parity: two sketches differ in no more bits than their sets do in n-grams.
+
+    Two bits or more for an n-gram, up to MOST_WORDS words. The halves of a sketch, xor-ed, are the sketch of half the width.
+    """
+    n = min(max(LEAST_WORDS, 1 << (2 * len(grams) - 1).bit_length() >> 6), MOST_WORDS) * 64
+    parity = np.bincount((grams & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1
+    return np.packbits(parity.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def sketches_allow(a: str, b: str, n: str, m: str, threshold: float) -> Column:
+    """Whether two sets of ``n`` and ``m`` n-grams may have the similarity, by their sketches; true where their widths differ more than twofold."""
+
+    def halved(c: str) -> Column:
+        half = F.shiftright(F.size(c), 1)
+        return F.zip_with(F.slice(c, 1, half), F.slice(c, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+
+    left = F.when(F.size(a) > F.size(b), halved(a)).otherwise(F.col(a))
+    right = F.when(F.size(b) > F.size(a), halved(b)).otherwise(F.col(b))
+    differ = F.aggregate(F.zip_with(left, right, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    return F.coalesce(differ * (1 + threshold) <= (1 - threshold) * (F.col(n) + F.col(m)) + 1e-5, F.lit(True))
+
+
+def signatures(docs: DataFrame, size: int, bands: int, rows: int, sketched: bool = False) -> DataFrame:
+    """doc_id, mark, key (of the n-gram set), n and band hashes of (doc_id, mark, text), and a sketch of the set if ``sketched``."""
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, mark binary, key binary, n int, bands array<long>" + ", sketch array<long>" * sketched
     salt = (np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = hash_seeds(bands * rows)
         for batch in batches:
             for part in words.by_bytes(batch, "text"):
-                keys, counts, banded = [], [], np.zeros((part.num_rows, bands), np.uint64)
+                keys, counts, banded, sketches = [], [], np.zeros((part.num_rows, bands), np.uint64), []
                 for i, grams in enumerate(gram_sets(part.column(2), size)):
                     keys.append(set_key(grams))
                     counts.append(len(grams))
+                    if sketched:
+                        sketches.append(parity_sketch(grams))
                     if len(grams):
                         h = words.mix(min_hashes(grams, seeds).reshape(bands, rows) + salt)
                         banded[i] = words.window_hashes(h.ravel(), rows)[::rows]
                 flat = pa.ListArray.from_arrays(np.arange(0, (part.num_rows + 1) * bands, bands, dtype=np.int32), pa.array(banded.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys, pa.binary()), pa.array(counts, pa.int32()), flat], names=["doc_id", "mark", "key", "n", "bands"])
+                columns = {"doc_id": part.column(0), "mark": part.column(1), "key": pa.array(keys, pa.binary()), "n": pa.array(counts, pa.int32()), "bands": flat}
+                if sketched:
+                    at = np.concatenate([[0], np.cumsum([len(s) for s in sketches])]).astype(np.int32)
+                    columns["sketch"] = pa.ListArray.from_arrays(at, pa.array(np.concatenate([np.zeros(0, np.int64), *sketches])))
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return map_batches(docs, run, schema)
 
@@ -333,26 +367,49 @@ def rare_pairs(members: DataFrame, threshold: float, most: float = math.inf) ->
     return meeting(checkpoint(map_batches(members.select("key", "label", "grams"), rare, f"key {kind}, label {kind}, gram long, place int, n int")), threshold, most)
 
 
-def meeting(first: DataFrame, threshold: float, most: float = math.inf) -> DataFrame | None:
-    """The pairs of :func:`rare_pairs`, of the rarest n-grams ``first`` (key, label, gram, place, n)."""
+def meeting(first: DataFrame, threshold: float, most: float = math.inf, sketches: DataFrame | None = None) -> DataFrame | None:
+    """The pairs of :func:`rare_pairs`, of the rarest n-grams ``first`` (key, label, gram, place, n).
+
+    With ``sketches`` (key, sketch) of all sets, those that meet on an n-gram of more than CROWD sets are compared by these as well.
+    """
     split = checkpoint(open_buckets(first, "gram").select("gram", "m", "apart", "top"))
     if (split.agg(F.sum(F.col("apart") * F.col("m"))).first()[0] or 0) > most:
         return None
     split = split.drop("apart")
-    open_ = join_frequent(first, split, ["gram"], "m")
-    probes = open_.where("label <> top").select("gram", "m", "top", *[F.col(c).alias(f"p_{c}") for c in ("key", "label", "place", "n")])
-    meet = join_frequent(open_.drop("m", "top"), probes, ["gram"], "m", limit=frequent_limit(split, "m"))
-    other = (F.col("label") != F.col("p_label")) & ((F.col("label") == F.col("top")) | (F.col("key") < F.col("p_key")))
-    # what they can share from here on
-    shared = F.least(F.col("n") - F.col("place"), F.col("p_n") - F.col("p_place")) + F.least("place", "p_place")
-    enough = shared * (1 + threshold) >= threshold * (F.col("n") + F.col("p_n")) - 1e-6
-    found = meet.where(other & _size_allows("n", "p_n", threshold) & enough)
+    if sketches is None:
+        found = met_pairs(join_frequent(first, split, ["gram"], "m"), threshold, frequent_limit(split, "m"))
+    else:
+        found = met_pairs(first.join(split.where(F.col("m") <= CROWD), "gram"), threshold, None)
+        crowds = split.where(F.col("m") > CROWD)
+        if not crowds.isEmpty():
+            open_ = checkpoint(join_frequent(first, crowds, ["gram"], "m"))
+            own = checkpoint(open_.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).join(sketches, "key"))
+            open_ = checkpoint(join_frequent(open_, own, ["key"], "rows").drop("rows"))
+            found = found.unionByName(met_pairs(open_, threshold, frequent_limit(crowds, "m")))
     met = found.groupBy(F.least("key", "p_key").alias("a"), F.greatest("key", "p_key").alias("b")).agg(F.count(F.lit(1)).alias("met"), F.first(F.col("n") + F.col("p_n")).alias("both"), F.first(F.greatest("n", "p_n")).alias("most"))
     # of what they share, all but the grams that they met on comes after the rarest of one of them
     shared = F.col("met") + F.ceil(threshold * F.col("most") - 1e-6) - 1
     return checkpoint(met.where(shared * (1 + threshold) >= threshold * F.col("both") - 1e-6).select("a", "b"))
 
 
+def met_pairs(open_: DataFrame, threshold: float, limit: int | None) -> DataFrame:
+    """(key, n, p_key, p_n): pairs of ``open_`` (key, label, gram, place, n, m, top and perhaps sketch) that meet on an n-gram and may be similar, once for each.
+
+    ``limit`` is the number of rows over which an n-gram is frequent.
+    """
+    own = [c for c in ("key", "label", "place", "n", "sketch") if c in open_.columns]
+    probes = open_.where("label <> top").select("gram", "m", "top", *[F.col(c).alias(f"p_{c}") for c in own])
+    meet = join_frequent(open_.drop("m", "top"), probes, ["gram"], "m", limit=limit)
+    other = (F.col("label") != F.col("p_label")) & ((F.col("label") == F.col("top")) | (F.col("key") < F.col("p_key")))
+    # what they can share from here on
+    shared = F.least(F.col("n") - F.col("place"), F.col("p_n") - F.col("p_place")) + F.least("place", "p_place")
+    enough = shared * (1 + threshold) >= threshold * (F.col("n") + F.col("p_n")) - 1e-6
+    close = other & _size_allows("n", "p_n", threshold) & enough
+    if "sketch" in own:
+        close &= sketches_allow("sketch", "p_sketch", "n", "p_n", threshold)
+    return meet.where(close).select("key", "n", "p_key", "p_n")
+
+
 def links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Verified links (a, b), the components (node, component) that they make of ``classes`` (key, copies, n, mark, bands), and the sets read.
 
@@ -385,7 +442,7 @@ def unbanded_links(docs: DataFrame, classes: DataFrame, edges: DataFrame, labels
     let_go(docs.sparkSession)
     named = classes.select(F.conv(F.hex(F.substring("key", 1, 7)), 16, 10).cast("long").alias("id"), "key").join(labels.withColumnRenamed("node", "key"), "key", "left")
     own = checkpoint(first.groupBy("id").agg(F.count(F.lit(1)).alias("m")).join(named.select("id", "key", F.coalesce("component", "key").alias("label")), "id"))
-    pairs = meeting(checkpoint(join_frequent(first, own, ["id"], "m").select("key", "label", "gram", "place", "n")), threshold)
+    pairs = meeting(checkpoint(join_frequent(first, own, ["id"], "m").select("key", "label", "gram", "place", "n")), threshold, sketches=classes.select("key", "sketch"))
     for end in ("a", "b"):
         met = checkpoint(pairs.groupBy(end).agg(F.count(F.lit(1)).alias("m")).join(classes.select(F.col("key").alias(end), F.col("bands").alias(f"{end}_bands")), end))
         pairs = join_frequent(pairs, met, [end], "m").drop("m")
@@ -480,9 +537,9 @@ def near_classes(docs: DataFrame, size: int, threshold: float, recall: float, co
     With ``count``, links are all there are, those without a common band too; else n_links has only the copies.
     """
     bands, rows = bands_for(threshold, recall)
-    signed = checkpoint(signatures(docs, size, bands, rows))
+    signed = checkpoint(signatures(docs, size, bands, rows, sketched=count))
     rep = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")  # ids before none
-    classes = signed.where("n > 0").groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min(rep).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = signed.where("n > 0").groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min(rep).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), *[F.first("sketch").alias("sketch")] * count)
     classes = checkpoint(classes.withColumn("mark", F.col("rep.mark")))
     let_go(docs.sparkSession)
     edges, labels, sets = links(classes, lambda wanted: full_sets(docs.select("mark", "text"), wanted, size), threshold)

@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from helpers import ODD, SF, documents, words
 from test_substring_dedup import twins
@@ -147,6 +148,59 @@ def test_rare_pairs_lose_none(spark, threshold):
                 assert (i, j) in got
 
 
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8, 0.95, 1.0])
+def test_sketches_lose_none(spark, monkeypatch, threshold):
+    # sets of 20 to 800 n-grams, so sketches of several widths; all that meet are compared by them
+    monkeypatch.setattr(near_dedup, "CROWD", 1)
+    rng = random.Random(int(threshold * 100))
+    sets = []
+    for i in range(90):
+        base = sets[rng.randrange(i)] if i % 6 else rng.sample(range(1 << 40), rng.randint(20, 800))
+        kept = rng.sample(base, max(1, int(len(base) * rng.choice([1, rng.uniform(max(0.25, threshold - 0.1), 1)]))))
+        sets.append(sorted({*kept, *(rng.randrange(1 << 40) for _ in range(rng.choice([0, 0, 4])))}))
+    sketches = [(f"{i:03}".encode(), near_dedup.parity_sketch(np.array(s, np.uint64)).tolist()) for i, s in enumerate(sets)]
+    assert len({len(x) for _, x in sketches}) > 2
+    sketches = spark.createDataFrame(sketches, "key binary, sketch array<long>")
+    meeting = near_dedup.meeting
+    monkeypatch.setattr(near_dedup, "meeting", lambda *a: meeting(*a, sketches=sketches))
+    rows = [(f"{i:03}".encode(), f"{i % 7}".encode(), s) for i, s in enumerate(sets)]
+    got = {(int(r.a), int(r.b)) for r in near_dedup.rare_pairs(spark.createDataFrame(rows, "key binary, label binary, grams array<long>"), threshold).collect()}
+    sets = [set(s) for s in sets]
+    want = {(i, j) for i, a in enumerate(sets) for j in range(i + 1, len(sets)) if i % 7 != j % 7 and len(a & sets[j]) >= threshold * len(a | sets[j])}
+    assert want and want <= got
+
+
+@pytest.mark.parametrize("n", [0, 1, 100, 128, 129, 5000])
+def test_sketches_differ_in_no_more_than_sets(n):
+    rng = np.random.default_rng(n)
+    a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+    b = np.unique(np.concatenate([a[n // 10 :], rng.integers(0, 1 << 63, n // 10, dtype=np.uint64)]))
+    x, y = near_dedup.parity_sketch(a), near_dedup.parity_sketch(b)
+    assert near_dedup.LEAST_WORDS <= len(x) == len(y) <= near_dedup.MOST_WORDS
+    assert np.unpackbits((x ^ y).view(np.uint8)).sum() <= len(np.setxor1d(a, b))
+
+
+def test_crowds_of_edited_copies_do_not_meet_in_pairs(spark, monkeypatch):
+    # one text with two words changed in each copy: any two share most n-grams, and few are similar
+    rng = random.Random(9)
+    docs = []
+    for i in range(200):
+        text = [f"b{j}" for j in range(120)]
+        for at in rng.sample(range(120), 2):
+            text[at] = f"w{i}_{at}"
+        docs.append((i, " ".join(text), "s"))
+    met, pairs = {}, near_dedup.met_pairs
+
+    def counted(open_, *a):
+        for name, rows in (("before", open_.drop("sketch")), ("now", open_)):
+            met[name] = met.get(name, 0) + pairs(rows, *a).count()
+        return pairs(open_, *a)
+
+    monkeypatch.setattr(near_dedup, "met_pairs", counted)
+    exactly(near_dedup.near_duplicates(documents(spark, docs)).collect(), [x[:2] for x in docs])
+    assert met["before"] > 100 * len(docs) and met["now"] < met["before"] / 5
+
+
 def test_wanted_classes_are_joined_where_they_are_many(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", 0)
     docs = near_copies(5, 60, 4)
