@@ -9,7 +9,7 @@ from ridgeline.functions import ordered, stats
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["de_status", "de_summary", "significant_pivot"])
+@pytest.mark.parametrize("name", ["de_status", "de_summary", "significant_pivot", "top_significant"])
 def test_no_frame_ends_with_the_last_row(spark, monkeypatch, name):
     plans, running = [], stats.running
     monkeypatch.setattr(stats, "running", lambda *a, **b: plans.append((out := running(*a, **b))._jdf.queryExecution().analyzed().toString().lower()) or out)
