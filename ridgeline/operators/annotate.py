@@ -67,8 +67,9 @@ def marker_zscore(expression: DataFrame) -> DataFrame:
 
 def marker_validation(scored: DataFrame, expected: DataFrame) -> DataFrame:
     """Per marker of ``expected`` (gene, expected): the category where it is highest (first by name on ties), and whether that is the one expected."""
-    best = scored.where("z IS NOT NULL").groupBy("gene").agg(F.max("z").alias("z_top"))
-    top = scored.join(best, "gene").where("z = z_top").groupBy("gene", "z_top").agg(F.min("category").alias("highest_in"))
-    own = scored.select("gene", F.col("category").alias("expected"), F.col("z").alias("z_expected"))
-    table = expected.join(top, "gene").join(own, ["gene", "expected"], "left")
+    # one reading of z: made twice, it may differ in its last bits and equal no greatest value
+    gene = Window.partitionBy("gene")
+    marked = scored.join(expected, "gene").withColumn("z_top", F.max("z").over(gene))
+    first, own = F.min(F.when(F.col("z") == F.col("z_top"), F.col("category"))), F.max(F.when(F.col("category") == F.col("expected"), F.col("z")))
+    table = marked.where("z_top IS NOT NULL").groupBy("gene", "expected", "z_top").agg(first.alias("highest_in"), own.alias("z_expected"))
     return table.select("gene", "expected", "highest_in", "z_top", "z_expected", F.when(F.col("expected") == F.col("highest_in"), "yes").otherwise("no").alias("match"))
