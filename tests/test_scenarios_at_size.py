@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 LEAST, IN_SAMPLES = 10, 2
 
 
-@pytest.mark.parametrize("name", ["split_de"])
+@pytest.mark.parametrize("name", ["split_de", "de_wald"])
 def test_factors_are_made_once_for_the_same_samples(spark, monkeypatch, name):
     seen, medians = [], expression.medians
     monkeypatch.setattr(expression, "medians", lambda df, *a: seen.append(df.groupBy("set", "category").count().collect()) or medians(df, *a))
